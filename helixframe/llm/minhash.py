@@ -196,32 +196,78 @@ def _confirmer(o: MinHashOptions):
     return run
 
 
-def _across(o: MinHashOptions):
-    """Candidates of different components inside one bucket (or one block pair of it)."""
+def _near(pdf: pd.DataFrame, o: MinHashOptions) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a bucket (or block pair), later members of other components that its signature may match.
+
+    A pair that shares several buckets is left to the first of its bands.
+    """
+    ids, comps, side = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["side"].to_numpy()
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), o.signature)
+    bands = np.stack(pdf["bands"].to_list())
+    key = pdf["key"].iat[0]
+    right = np.flatnonzero(side != 0)
+    for i in np.flatnonzero(side != 1):
+        near = right[comps[right] != comps[i]]
+        near = near[ids[near] > ids[i]] if side[i] == 2 else near
+        if len(near):
+            near = near[survives(np.broadcast_to(sig[i], (len(near), o.signature)), sig[near], o)]
+            first = (bands[near] == bands[i]).argmax(axis=1)
+            near = near[bands[i][first] == key]
+            if len(near):
+                yield i, near
+
+
+def _likely_members(o: MinHashOptions):
+    """The members of a bucket that have a candidate in it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        ids, comps, side = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["side"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), o.signature)
-        left = np.flatnonzero((side == 0) | (side == 2))
-        right = np.flatnonzero((side == 1) | (side == 2))
+        hit = np.zeros(len(pdf), bool)
+        for i, near in _near(pdf, o):
+            hit[i] = True
+            hit[near] = True
+        return pdf.loc[hit, ["key", "p", "q", "id", "side"]]
+
+    return run
+
+
+def _links_across(o: MinHashOptions):
+    """Links between components inside one bucket, confirmed on full sets; a forest of them, not every pair."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["members"]]
+        size = np.array([len(x) for x in sets])
+        distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        flag = np.zeros(len(distinct), bool)
+        # Components known before and found here, so that a pair they hold together is not tested.
+        _, group = np.unique(pdf["component"].to_numpy(), return_inverse=True)
         found = []
-        for i in left:
-            near = right[(comps[right] != comps[i])]
-            near = near[(ids[near] > ids[i])] if side[i] == 2 else near
-            if len(near):
-                hit = near[survives(np.broadcast_to(sig[i], (len(near), o.signature)), sig[near], o)]
-                found += [(ids[i], ids[j]) for j in hit]
+        for i, near in _near(pdf, o):
+            near = near[group[near] != group[i]]
+            near = near[100 * np.minimum(size[near], size[i]) >= o.threshold_pct * np.maximum(size[near], size[i])]
+            if not len(near):
+                continue
+            flag[flat[ends[i] - size[i] : ends[i]]] = True
+            common = np.array([int(flag[flat[ends[j] - size[j] : ends[j]]].sum()) for j in near])
+            flag[flat[ends[i] - size[i] : ends[i]]] = False
+            for j in near[100 * common >= o.threshold_pct * (size[i] + size[near] - common)]:
+                if group[j] != group[i]:
+                    found.append((ids[i], ids[j]))
+                    group[group == group[j]] = group[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _full_sets(ids: DataFrame, texts: DataFrame, ws: Workspace, o: MinHashOptions) -> DataFrame:
+    """(id, members): the shingle sets of the documents named."""
+    return ws.table(texts.join(ws.table(ids), "id", "left_semi").mapInArrow(_sets(o), "id long, members binary").dropDuplicates(["id"]))
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, ws: Workspace, o: MinHashOptions) -> DataFrame:
     """The pairs that the full shingle sets confirm."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-    ids = ws.table(ids)
-    sets = ws.table(texts.join(ids, texts["id"] == ids["need"], "left_semi").mapInArrow(_sets(o), "id long, members binary").dropDuplicates(["id"]))
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, ws, o)
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(_confirmer(o), "a long, b long")
 
@@ -252,7 +298,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = ws.table(members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most"))
     members = ws.table(members.join(buckets.select("key", "least", "n"), "key"))
     star = ws.table(members.where("id > least").groupBy("id", "least").agg(F.count("*").alias("votes")))
-    sigs = ws.table(chosen.select("id", "sig").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    sigs = ws.table(chosen.select("id", "sig", "bands").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     sig_a, sig_b = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
 
     def pruned(pairs: DataFrame) -> DataFrame:
@@ -287,11 +333,13 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = ws.table(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
     open_ = members.join(mixed, "key", "left_semi").where("n > 2")
     count = F.ceil(F.col("n") / o.block).cast("int")
-    blocked = open_.select("key", "id", "component", count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocked = blocked.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "id", "component", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
-    across = blocked.join(sigs, "id").groupBy("key", "p", "q").applyInPandas(_across(o), "a long, b long")
-    found = ws.table(across.distinct())
-    label = relabel(_write_links(found, texts, ws, o))
+    blocked = open_.select("key", "id", count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = blocked.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "id", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
+    about = ws.table(sigs.join(known, "id", "left").select("id", "sig", "bands", F.coalesce("component", "id").alias("component")))
+    likely = ws.table(blocked.join(about, "id").groupBy("key", "p", "q").applyInPandas(_likely_members(o), "key long, p int, q int, id long, side int"))
+    sets = _full_sets(likely.select("id").distinct(), texts, ws, o)
+    links = likely.join(about, "id").join(sets, "id").groupBy("key", "p", "q").applyInPandas(_links_across(o), "a long, b long")
+    label = relabel(ws.table(links))
 
     known = label.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     owner = ws.table(classes.join(known, "rep", "left").select("hi", "lo", F.coalesce("component_id", "rep").alias("component_id")))
@@ -299,6 +347,3 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
     return ws.finish(out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))))
 
-
-def _write_links(found: DataFrame, texts: DataFrame, ws: Workspace, o: MinHashOptions) -> DataFrame:
-    return ws.table(_confirm(found, texts, ws, o))
