@@ -27,12 +27,14 @@ START, GAP, OTHER = 0, 1, 2
 class LangOptions:
     """``sample_rows`` bounds the labelled rows a language that are learned from (drawn by a hash of the id).
 
-    A fifth of them is kept out of the counts, to calibrate.  ``order`` is the length of
+    At most ``most_langs`` languages, the most frequent, are learned.
+    A fifth of the rows is kept out of the counts, to calibrate.  ``order`` is the length of
     the n-grams.  ``slack`` widens the largest surprise seen in calibration, beyond
     which a text is rejected.
     """
 
     sample_rows: int = 1500
+    most_langs: int = 256
     order: int = 4
     slack: float = 1.5
     seed: int = 3
@@ -41,11 +43,11 @@ class LangOptions:
 @lru_cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: its lower case (where that is one character), and whether it is a letter."""
-    chars = [chr(c) for c in range(0x110000)]
     low = np.arange(0x110000, dtype=np.uint32)
-    upper = [c for c, x in enumerate(chars) if x.isupper() and len(x.lower()) == 1]
-    low[upper] = [ord(chars[c].lower()) for c in upper]
-    return low, np.fromiter((x.isalpha() for x in chars), bool, 0x110000)
+    for c in range(0x110000):
+        if (x := chr(c)).isupper() and len(x.lower()) == 1:
+            low[c] = ord(x.lower())
+    return low, np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def letter_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,15 +254,15 @@ def _calibrated(model: LangModel, texts: list[str], langs: list[str], o: LangOpt
     centre = float(np.median(low))
     z = (low - centre) * np.sqrt(np.minimum(n, 400))
     spread = float(max(np.std(z), 1e-6))
-    return LangModel(model.langs, model.alphabet, model.orders, beta, centre, spread, float(o.slack * max(z.max() / spread, 6.0)))
+    return LangModel(model.langs, model.alphabet, model.orders, beta, centre, spread, float(o.slack * max(z.max() / spread, 8.0)))
 
 
 def fit(labelled: DataFrame, options: LangOptions | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Learn from the rows whose language and text are not null; a bounded sample of each language."""
     o = options or LangOptions()
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.lit(o.seed)), F.lit(1 << 30)).alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(sizes.where("n > 0").limit(4096)), "lang").where(F.col("draw") < F.least(F.lit(1.0), o.sample_rows / F.col("n")) * (1 << 30))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(o.most_langs)
+    rows = rows.join(F.broadcast(sizes), "lang").where(F.col("draw") < F.least(F.lit(1.0), o.sample_rows / F.col("n")) * (1 << 30))
     got = sorted(rows.select("lang", "draw", "text").toArrow().to_pylist(), key=lambda r: (r["lang"], r["draw"], r["text"]))
     langs = sorted({r["lang"] for r in got})
     known = [r for i, r in enumerate(got) if i % 5]
@@ -306,3 +308,16 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected)], ["id", "lang_pred", "score", "bits_per_char", "rejected"])
 
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, lang_pred string, score double, bits_per_char double, rejected boolean").withColumnRenamed("id", id_col)
+
+
+def drop_rejected(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is not rejected.  No shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in tx.slices(batch.column(at), tx.SLICE_BYTES // 4):
+                part = batch.slice(begin, end - begin)
+                yield part.filter(pa.array(~model.judge(part.column(at).to_pylist())[3]))
+
+    return docs.mapInArrow(run, docs.schema)

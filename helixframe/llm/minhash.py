@@ -43,15 +43,15 @@ class MinHashOptions:
     """``threshold_pct``: link if 100 * intersection >= threshold_pct * union.
 
     With ``bands`` of ``rows`` hashes a pair at similarity s shares no band with
-    probability (1 - s^rows)^bands: 6e-6 at 0.8 by default.  ``miss`` is the
+    probability (1 - s^rows)^bands: 7e-6 at 0.8 by default.  ``miss`` is the
     probability at which a pair is given up by its posterior.  ``block`` bounds
     the members that one task compares with as many others.
     """
 
     shingle: int = 5
     threshold_pct: int = 80
-    bands: int = 40
-    rows: int = 6
+    bands: int = 30
+    rows: int = 5
     signature: int = 128
     batch: int = 32
     miss: float = 1e-7
@@ -225,7 +225,7 @@ def _likely_members(o: MinHashOptions):
         for i, near in _near(pdf, o):
             hit[i] = True
             hit[near] = True
-        return pdf.loc[hit, ["key", "p", "q", "id", "side"]]
+        return pdf.loc[hit, ["key", "p", "q", "side", "id", "component", "sig", "bands"]]
 
     return run
 
@@ -336,9 +336,9 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocked = open_.select("key", "id", count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = blocked.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "id", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
     about = ws.table(sigs.join(known, "id", "left").select("id", "sig", "bands", F.coalesce("component", "id").alias("component")))
-    likely = ws.table(blocked.join(about, "id").groupBy("key", "p", "q").applyInPandas(_likely_members(o), "key long, p int, q int, id long, side int"))
+    likely = ws.table(blocked.join(about, "id").groupBy("key", "p", "q").applyInPandas(_likely_members(o), "key long, p int, q int, side int, id long, component long, sig binary, bands array<long>"))
     sets = _full_sets(likely.select("id").distinct(), texts, ws, o)
-    links = likely.join(about, "id").join(sets, "id").groupBy("key", "p", "q").applyInPandas(_links_across(o), "a long, b long")
+    links = likely.join(sets, "id").groupBy("key", "p", "q").applyInPandas(_links_across(o), "a long, b long")
     label = relabel(ws.table(links))
 
     known = label.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))

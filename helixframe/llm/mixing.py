@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, o: MixOptions) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", options: MixOptions | None = None) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken``.
+    """One row per input row: ``doc_id, size, source_size, target, taken, mix_source``.
 
     ``size`` counts the words of the text.  A source whose target is f times its
     words takes every document floor(f) times for certain; the rest is a Pareto
@@ -112,7 +112,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for more in chosen[1:]:
         picked = picked.unionByName(more)
     picked = ws.table(picked.groupBy("tag", "id", "size", "u").agg(F.count("*").alias("times")))
-    return ws.finish(_spread(rows.withColumn("tag", tag), picked, shares, ws).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken"))
+    return ws.finish(_spread(rows.withColumn("tag", tag), picked, shares, ws).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.col("source").alias("mix_source")))
 
 
 def _spread(rows: DataFrame, picked: DataFrame, shares: DataFrame, ws: Workspace) -> DataFrame:
@@ -131,4 +131,20 @@ def _spread(rows: DataFrame, picked: DataFrame, shares: DataFrame, ws: Workspace
     whole = r.join(q, in_part, "left_anti").alias("r").join(p, same, "left").select("r.*", F.when(F.col("times").isNull(), 0).otherwise(1).alias("extra"))
     numbered = r.join(q, in_part).select("r.*", "q.times").withColumn("at", F.row_number().over(W.partitionBy(*key).orderBy("size")))
     each = whole.unionByName(numbered.select("tag", "id", "source", "size", "u", (F.col("at") <= F.col("times")).cast("int").alias("extra")), allowMissingColumns=True)
+    each = each.select("tag", "id", "source", "size", "extra")
     return each.join(shares.select("tag", "source_size", "target", "copies"), "tag").withColumn("taken", F.col("size") * (F.col("copies") + F.col("extra")))
+
+
+def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents, each as often as ``mixed`` takes it, with their columns.
+
+    Rows of equal id, source and size share what the mix takes of them.
+    """
+    takes = mixed.groupBy(F.col(id_col).alias("mix_id"), F.col("mix_source"), F.col("size").alias("mix_size")).agg(F.sum(F.col("taken") / F.nullif("size", F.lit(0))).cast("long").alias("mix_times"), F.count("*").alias("mix_rows"))
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    both = docs.join(takes, F.col(id_col).eqNullSafe(F.col("mix_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")) & (size == F.col("mix_size"))).where("mix_times > 0")
+    alone = both.where("mix_rows = 1").withColumn("mix_at", F.lit(1))
+    several = both.where("mix_rows > 1").withColumn("mix_at", F.row_number().over(W.partitionBy("mix_id", "mix_source", "mix_size").orderBy(F.xxhash64(text_col))))
+    times = F.floor(F.col("mix_times") / F.col("mix_rows")) + (F.col("mix_at") <= F.col("mix_times") % F.col("mix_rows")).cast("int")
+    out = alone.unionByName(several).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return out.select(*docs.columns)

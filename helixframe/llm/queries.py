@@ -4,21 +4,143 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from helixframe.llm import langid, toxicity
+from helixframe.llm.ann import nearest
+from helixframe.llm.bpe import bpe_encode_decode
+from helixframe.llm.embed_dedup import embedding_dedup
+from helixframe.llm.licenses import scan_licenses
 from helixframe.llm.minhash import MinHashOptions, minhash_dedup
+from helixframe.llm.mixing import mix_sources
+from helixframe.llm.token_files import read_token_files, write_token_files
+from helixframe.llm.url_filter import filter_urls
+from helixframe.llm.workspace import Workspace
+
+#: (verdict, host, path)
+URL_RULES = (
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _remainder(of: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(_remainder(4) != 2))
+    held = F.coalesce(_remainder(4) == 2, F.lit(False))
+    return langid.identify(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score", "bits_per_char", "rejected")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(_remainder(5) != 0).select("doc_id", F.col("toxic").alias("label")))
+    held = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return toxicity.score(docs, model).withColumn("held_out", held).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bpe_encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(_read(spark, sf_dir, "embeddings"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = f"{Workspace(spark, 'tokens').root}/files"
+    write_token_files(_read(spark, sf_dir, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"), 50257)
+    return read_token_files(spark, files, summary=True)
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(_read(spark, sf_dir, "documents"), options=MinHashOptions(shingle=2))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_minhash_dedup": op10_minhash_dedup,
+    f.__name__: f
+    for f in (op1_language_id, op2_license_scan, op3_url_filter, op4_toxicity, op5_nearest_neighbours, op6_bpe, op7_embedding_dedup, op8_mixing, op9_token_files, op10_minhash_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _url_sql() -> str:
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "block"))
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), '{upper}', '{lower}') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM u"""
+
+
+def _mix_sql(passes: int = 3) -> str:
+    steps = ["p0 AS (SELECT tag, missing FROM share WHERE missing > 0)", "l0 AS (SELECT r.tag, id, size, u, slot, rank FROM ranked r JOIN p0 USING (tag) WHERE size > 0)"]
+    for i in range(passes):
+        steps += [
+            f"f{i} AS (SELECT l.*, missing, sum(size) OVER (PARTITION BY tag ORDER BY slot, rank, id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS run FROM l{i} l JOIN p{i} USING (tag) WHERE size <= missing)",
+            f"t{i} AS (SELECT tag, id, size, u FROM f{i} WHERE run <= missing)",
+            f"p{i + 1} AS (SELECT tag, missing - coalesce(used, 0) AS missing FROM p{i} LEFT JOIN (SELECT tag, sum(size)::BIGINT AS used FROM t{i} GROUP BY tag) USING (tag))",
+            f"l{i + 1} AS (SELECT tag, id, size, u, slot, rank FROM f{i} WHERE run > missing)",
+        ]
+    taken = " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(passes))
+    return f"""
+WITH d AS (
+  SELECT doc_id AS id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)]::BIGINT AS weight, source_size * 3 AS cap FROM s),
+c AS (SELECT *, cap / weight AS level,
+        (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / (sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS part FROM w),
+g AS (SELECT *, min(CASE WHEN part * weight <= cap THEN level END) OVER () AS lim FROM c),
+h AS (SELECT *, first_value(part) OVER (ORDER BY level <> lim, cap) AS fin FROM g),
+t AS (SELECT coalesce('s' || source, 'n') AS tag, source, source_size, coalesce(least(cap::DOUBLE, fin * weight), 0.0) AS target FROM h),
+share0 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM t),
+share AS (SELECT *, target - copies * source_size AS missing FROM share0),
+ranked AS (
+  SELECT coalesce('s' || d.source, 'n') AS tag, id, size, u, floor(u / 1099511627776.0)::INT AS slot,
+         (((u + 0.5) / 4503599627370496.0) / (1 - (u + 0.5) / 4503599627370496.0)) / ((missing / source_size) / (1 - missing / source_size)) AS rank
+  FROM d JOIN share ON share.tag = coalesce('s' || d.source, 'n') WHERE size > 0 AND missing > 0),
+{", ".join(steps)},
+x AS (SELECT DISTINCT * FROM ({taken}))
+SELECT d.id AS doc_id, d.size, source_size, target, (d.size * (copies + CASE WHEN x.tag IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken, d.source AS mix_source
+FROM d JOIN share ON share.tag = coalesce('s' || d.source, 'n')
+LEFT JOIN x ON x.tag = share.tag AND x.id IS NOT DISTINCT FROM d.id AND x.size = d.size AND x.u = d.u"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": _url_sql(), "op8_mixing": _mix_sql()}

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Text bytes handled at once; bounds the temporary arrays of a Python worker.
@@ -53,7 +54,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     """Row ranges of a string column of about ``limit`` bytes each; a longer text stands alone."""
     sizes = np.zeros(len(column), np.int64)
     if len(column):
-        sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     begin, total = 0, 0
     for i, size in enumerate(sizes):
         if i > begin and total + size > limit:

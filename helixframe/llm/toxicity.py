@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import text as tx
 
-#: Terms are runs of ASCII letters and digits and of bytes beyond ASCII, so punctuation hides none.
+#: Words are runs of ASCII letters and digits and of bytes beyond ASCII, so punctuation hides none.
+#: The terms of a word are the word and its first bytes, as inflected insults share their beginning.
+STEMS = (4, 5, 6, 7, 8)
 _APART = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 
 
@@ -20,17 +22,19 @@ _APART = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 12
 class FMOptions:
     """``sample_rows`` bounds the labelled rows that the model is fitted on (drawn by a hash of the id); all rows are scored.
 
-    Terms fall in 2^``bits`` slots; slots of fewer than ``least_rows`` sampled rows are
-    left out.  ``l1`` drives weights and whole factor vectors of uninformative terms to zero.
+    Terms fall in 2^``bits`` slots; slots of fewer than ``least_rows`` sampled rows, or whose
+    shares in the two labels differ by fewer than ``least_z`` standard errors, are left
+    out.  ``l1`` drives weights and whole factor vectors of uninformative terms to zero.
     """
 
-    sample_rows: int = 8000
-    bits: int = 20
+    sample_rows: int = 12000
+    bits: int = 22
     factors: int = 4
     least_rows: int = 4
-    steps: int = 150
-    rate: float = 0.05
-    l1: float = 2e-4
+    least_z: float = 2.5
+    steps: int = 200
+    rate: float = 0.3
+    l1: float = 5e-4
     seed: int = 5
 
 
@@ -44,64 +48,95 @@ class FMModel:
     w: np.ndarray
     v: np.ndarray
 
-    def scores(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Probability of label 1 for each document, given as its distinct slots."""
-        n = np.array([len(d) for d in docs], np.int64)
-        flat = np.concatenate([*docs, np.zeros(0, np.int64)])
-        at = np.searchsorted(self.slots, flat)
-        at[at == len(self.slots)] = 0
-        hit = self.slots[at] == flat if len(self.slots) else np.zeros(len(flat), bool)
-        row, at = np.repeat(np.arange(len(docs)), n)[hit], at[hit]
-        total = self.bias + np.bincount(row, self.w[at], len(docs))
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """Probability of label 1 for each text."""
+        n = len(column)
+        row, slot = terms(column, self.bits, self.slots)
+        at = np.searchsorted(self.slots, slot)
+        total = self.bias + np.bincount(row, self.w[at], n)
         for f in range(self.v.shape[1]):
             x = self.v[at, f]
-            total += 0.5 * (np.bincount(row, x, len(docs)) ** 2 - np.bincount(row, x * x, len(docs)))
+            total += 0.5 * (np.bincount(row, x, n) ** 2 - np.bincount(row, x * x, n))
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def distinct_terms(column: pa.Array, bits: int) -> list[np.ndarray]:
-    """Sorted distinct term slots of each row."""
+def terms(column: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, term slot) of the texts, in order; of the ``wanted`` (sorted) slots only, if given.
+
+    Terms are made once for each distinct word of the column.
+    """
     raw, offsets = tx.buffer_of(column)
     starts, ends, first = tx.word_bounds(raw, offsets, _APART)
-    slots = (tx.span_hashes(raw, starts, ends) >> np.uint64(64 - bits)).astype(np.int64)
+    words = tx.span_hashes(raw, starts, ends)
     rows = np.repeat(np.arange(len(column)), np.diff(first))
-    got = np.unique(rows << bits | slots)
-    return np.split(got & (1 << bits) - 1, np.searchsorted(got, np.arange(1, len(column)) << bits)) if len(column) else []
+    _, sample, word = np.unique(words, return_index=True, return_inverse=True)
+    begin, end = starts[sample], ends[sample]
+    slots, owner = [words[sample] >> np.uint64(64 - bits)], [np.arange(len(sample))]
+    for length in STEMS:
+        longer = np.flatnonzero(end - begin > length)
+        owner.append(longer)
+        slots.append(tx.mix(tx.span_hashes(raw, begin[longer], begin[longer] + length) + np.uint64(1)) >> np.uint64(64 - bits))
+    slot, owner = np.concatenate(slots).astype(np.int64), np.concatenate(owner)
+    if wanted is not None:
+        at = np.minimum(np.searchsorted(wanted, slot), max(len(wanted) - 1, 0))
+        hit = wanted[at] == slot if len(wanted) else np.zeros(len(slot), bool)
+        slot, owner = slot[hit], owner[hit]
+    by = np.argsort(owner, kind="stable")
+    slot, count = slot[by], np.bincount(owner, minlength=len(sample))
+    start = np.cumsum(count) - count
+    reps = count[word]
+    at = np.repeat(start[word] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
+    got = np.unique(np.repeat(rows, reps) << bits | slot[at])
+    return got >> bits, got & (1 << bits) - 1
 
 
 def _featurizer(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end in tx.slices(batch.column(0)):
-                docs = distinct_terms(batch.column(0).slice(begin, end - begin), bits)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.int64())), batch.column(1).slice(begin, end - begin)], ["terms", "label"])
+                row, slot = terms(batch.column(0).slice(begin, end - begin), bits)
+                cuts = np.searchsorted(row, np.arange(end - begin + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), pa.array(slot.astype(np.int32))), batch.column(1).slice(begin, end - begin)], ["terms", "label"])
 
     return run
 
 
-def fit(labelled: DataFrame, options: FMOptions | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> FMModel:
-    """Fit on rows with a label of 0 or 1.  No such row, or one label only: every score is the share of label 1."""
+def fit(docs: DataFrame, labels: DataFrame, options: FMOptions | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> FMModel:
+    """Fit on the documents that ``labels`` (id, label of 0 or 1) names.
+
+    The bounded sample is drawn from the labels, so it may be broadcast and only the texts it
+    names are read for it.  Of several labels of an id the largest counts.  No labelled
+    document, or one label only: every score is the share of label 1.
+    """
     o = options or FMOptions()
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"), F.pmod(F.xxhash64(F.col(id_col), F.lit(o.seed)), F.lit(1 << 20)).alias("draw"))
-    n = rows.count()
-    if n > o.sample_rows:
-        rows = rows.where(F.col("draw") < int(o.sample_rows / n * (1 << 20)))
-    got = rows.select("text", "label").mapInArrow(_featurizer(o.bits), "terms array<long>, label int").toArrow()
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    drawn = known.orderBy(F.xxhash64("id", F.lit(o.seed)), "id").limit(o.sample_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id")
+    got = rows.select("text", "label").mapInArrow(_featurizer(o.bits), "terms array<int>, label int").toArrow()
     y = got.column("label").to_numpy().astype(np.float64)
-    terms = got.column("terms").combine_chunks()
-    flat = terms.values.to_numpy() if len(terms) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(y)), np.diff(terms.offsets.to_numpy())) if len(terms) else np.zeros(0, np.int64)
-    order = np.lexsort((flat, row, y[row])) if len(row) else row  # the order in which rows came has no effect
     share = float(y.mean()) if len(y) else 0.0
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     if not 0 < share < 1:
         return FMModel(o.bits, np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, o.factors)))
-    row, flat = row[order], flat[order]
-    slots, column, rows_of = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = rows_of[column] >= o.least_rows
-    row, column = row[keep], column[keep]
-    used, column = np.unique(column, return_inverse=True)
-    return _descend(row, column, y, slots[used], bias, o)
+    lists = got.column("terms").combine_chunks()
+    flat = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    n1 = np.bincount(flat[y[row] == 1], minlength=1 << o.bits).astype(np.float64)
+    n0 = np.bincount(flat[y[row] == 0], minlength=1 << o.bits).astype(np.float64)
+    total = n0 + n1
+    pooled = np.clip(total / len(y), 1e-9, 1 - 1e-9)
+    z = np.abs(n1 / y.sum() - n0 / (len(y) - y.sum())) / np.sqrt(pooled * (1 - pooled) * (1 / y.sum() + 1 / (len(y) - y.sum())))
+    slots = np.flatnonzero((total >= o.least_rows) & (z >= o.least_z))
+    number = np.full(1 << o.bits, -1)
+    number[slots] = np.arange(len(slots))
+    column = number[flat]
+    row, column = row[column >= 0], column[column >= 0]
+    # Rows come in no fixed order: sort the incidence list by what each row holds.
+    digest = np.bincount(row, (column * 2654435761 % 1000003).astype(np.float64), len(y))
+    place = np.empty(len(y), np.int64)
+    place[np.lexsort((digest, y))] = np.arange(len(y))
+    order = np.lexsort((column, place[row]))
+    return _descend(place[row][order], column[order], np.sort(y), slots, bias, o)
 
 
 def _descend(row: np.ndarray, column: np.ndarray, y: np.ndarray, slots: np.ndarray, bias: float, o: FMOptions) -> FMModel:
@@ -146,7 +181,20 @@ def score(docs: DataFrame, model: FMModel, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end in tx.slices(batch.column(1)):
-                got = model.scores(distinct_terms(batch.column(1).slice(begin, end - begin), model.bits))
+                got = model.scores(batch.column(1).slice(begin, end - begin))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: FMModel, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose predicted label is 0.  No shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in tx.slices(batch.column(at)):
+                part = batch.slice(begin, end - begin)
+                yield part.filter(pa.array(model.scores(part.column(at)) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
