@@ -51,25 +51,20 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def letter_stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case letters of all texts with one blank (0) for each run of others, and the offsets of the texts.
+    """Lower-case letters of all texts with one blank (0) for each run of others, and the bounds of the texts.
 
-    Each text begins and ends with a blank.
+    Each text begins with a blank, and ends with one if it has a letter.
     """
     low, letter = _letters()
-    raw = np.frombuffer(" ".join(["", *(t or "" for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t or "") + 1 for t in texts], dtype=np.int64)  # position of the blank after each text
+    raw = np.frombuffer("".join(f" {t or ''} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.cumsum([0, *(len(t or "") + 2 for t in texts)], dtype=np.int64)
     code = low[raw]
     is_letter = letter[code]
     code = np.where(is_letter, code, 0)
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
-    keep[0] = True
-    keep[ends] = True
-    # A blank between two texts closes the one; the other opens with a copy of it.
-    place = np.cumsum(keep)
-    out = code[keep]
-    bounds = np.concatenate(([0], place[ends] - 1))
-    return out, bounds
+    keep[begins[:-1]] = True
+    return code[keep], np.concatenate(([0], np.cumsum(keep)))[begins]
 
 
 def has_letter(out: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -102,6 +97,8 @@ class Order:
 
     def find(self, packed: np.ndarray) -> np.ndarray:
         """Rows of the n-grams, -1 where absent: a jump by the leading bits, then a walk along the sorted hashes."""
+        if not len(self.keys):
+            return np.full(len(packed), -1, np.int64)
         keys = tx.mix(packed + np.uint64(1))
         at = self.starts[keys >> np.uint64(48)]
         out = np.full(len(keys), -1, np.int64)
@@ -151,9 +148,8 @@ class LangModel:
         total = np.zeros((len(codes) + 1, len(self.langs)))
         total[where + 1] = self.logs(packed[where])
         total = np.cumsum(total, axis=0)
-        n = np.maximum(bounds[1:] - bounds[:-1], 1)
-        # A text's closing blank is the next one's opening blank, scored with the former.
-        return -(total[bounds[1:] + 0] - total[bounds[:-1]]) / n[:, None], n, letters
+        n = np.maximum(bounds[1:] - bounds[:-1] - 1, 1)
+        return -(total[bounds[1:]] - total[bounds[:-1]]) / n[:, None], n, letters
 
     def logs(self, packed: np.ndarray) -> np.ndarray:
         """log2 probability of the last symbol of each n-gram given those before, by language."""
@@ -179,9 +175,9 @@ class LangModel:
 
     def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best language (-1: no letter), its calibrated probability, bits a character, and whether it is rejected."""
-        bits, n, letters = self.entropies(texts)
         if not self.langs:
             return np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
+        bits, n, letters = self.entropies(texts)
         best = bits.argmin(1)
         low = bits[np.arange(len(bits)), best]
         odds = np.exp(np.clip(-self.beta * np.sqrt(n)[:, None] * (bits - low[:, None]), -700, 0))
