@@ -18,6 +18,7 @@ and ``start`` in its footers find a block without reading others.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -33,7 +34,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.llm import text as tx
-from helixframe.llm.bpe import WordIds
 
 MAGIC = b"HXTB"
 _HEAD = struct.Struct("<4sBBHI")
@@ -89,9 +89,14 @@ def _latin_pieces() -> re.Pattern:
 
 
 class LibraryEncoder:
-    """A byte-level file of the tokenizers library, asked once for each distinct piece of text."""
+    """A byte-level file of the tokenizers library, asked once for each distinct piece of text.
 
-    def __init__(self, path: str):
+    Ids of pieces are kept as little-endian 32-bit bytes, in two generations, so what is
+    asked for again outlives a full cache; a document's ids are joined without an object for each.
+    """
+
+    def __init__(self, path: str, kept: int = 1_200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library would only wait on one another
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -99,16 +104,65 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.pieces, self.latin, self.wide = regex.compile(PIECES), _latin_pieces(), re.compile("[^\x00-\xff]")
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = WordIds(self._ask, 400_000)
-
-    def _ask(self, piece: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-
-    def encode(self, text: str) -> list[int]:
-        if any(mark in text for mark in self.marks):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        pattern = self.latin if text.isascii() or not self.wide.search(text) else self.pieces
-        return list(chain.from_iterable(map(self.cache.__getitem__, pattern.findall(text))))
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.kept, self.new, self.old = kept, {}, {}
+
+    def _cut(self, text: str) -> list[str]:
+        return (self.latin if text.isascii() or not self.wide.search(text) else self.pieces).findall(text)
+
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        got = list(map(self.new.get, pieces))
+        lacking = [i for i, ids in enumerate(got) if ids is None]
+        if lacking:
+            fresh = dict.fromkeys(pieces[i] for i in lacking)
+            ask = []
+            for piece in fresh:
+                if (ids := self.old.get(piece)) is None:
+                    ask.append(piece)
+                else:
+                    fresh[piece] = ids
+            fresh.update(zip(ask, self._encoded(ask), strict=True))
+            for i in lacking:
+                got[i] = fresh[pieces[i]]
+            if len(self.new) + len(fresh) > self.kept // 2:
+                self.old, self.new = self.new, {}
+            self.new.update((p, ids) for p, ids in fresh.items() if len(p) <= 64)
+        return got
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces from the library, by one call for all that are no white space, a line each.
+
+        A line break is a piece of its own next to them, so its id parts their ids.
+        """
+        solid = [p for p in pieces if not p.isspace()]
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(solid)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(ids == self.line)
+        if len(cuts) != len(solid) - 1:
+            return [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+        raw = ids.tobytes()
+        ends = iter([*(4 * cuts).tolist(), len(raw)])
+        out, begin = [], 0
+        for p in pieces:
+            if p.isspace():
+                out.append(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                end = next(ends)
+                out.append(raw[begin:end])
+                begin = end + 4
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, four bytes each."""
+        cut = [[] if any(mark in text for mark in self.marks) else self._cut(text) for text in texts]
+        got = self._look_up(list(chain.from_iterable(cut)))
+        out, at = [], 0
+        for text, pieces in zip(texts, cut, strict=True):
+            if pieces or not text:
+                out.append(b"".join(got[at : at + len(pieces)]))
+                at += len(pieces)
+            else:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -125,28 +179,30 @@ def _writer(path: str, bits: int, end_id: int):
         from pyspark import TaskContext
 
         shard, block, start = TaskContext.get().partitionId(), 0, 0
-        encode = encoder(path).encode
+        library = encoder(path)
         docs: list = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
+        end = struct.pack("<I", end_id)
 
         def close() -> pa.RecordBatch:
             nonlocal block, start, docs, held
-            ids = np.concatenate(held)
-            out = pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "start": start, "n_ids": len(ids), "doc_ids": docs, "lengths": [len(x) for x in held], "payload": pack(ids, bits)}], _BLOCK)
+            ids = np.frombuffer(b"".join(held), "<u4")
+            lengths = [len(x) // 4 for x in held]
+            out = pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "start": start, "n_ids": len(ids), "doc_ids": docs, "lengths": lengths, "payload": pack(ids, bits)}], _BLOCK)
             block, start, docs, held = block + 1, start + len(ids), [], []
             return out
 
         size = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "")
-                ids.append(end_id)
-                docs.append(doc.as_py())
-                held.append(np.array(ids, np.uint32))
-                size += len(ids)
-                if size >= BLOCK_IDS:
-                    yield close()
-                    size = 0
+            for first, last in tx.slices(batch.column(1), tx.SLICE_BYTES // 2):
+                texts = batch.column(1).slice(first, last - first).to_pylist()
+                for doc, ids in zip(batch.column(0).slice(first, last - first).to_pylist(), library.encode_many(texts), strict=True):
+                    docs.append(doc)
+                    held.append(ids + end)
+                    size += len(ids) // 4 + 1
+                    if size >= BLOCK_IDS:
+                        yield close()
+                        size = 0
         if held:
             yield close()
 
