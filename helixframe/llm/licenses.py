@@ -76,27 +76,22 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     o = options or LicenseOptions()
     known = _templates(docs.sparkSession, templates, o)
     listed = known.select("n", "t").collect()  # one row per template in the call
-    known_lengths = sorted({r["n"] for r in listed})
-    values = {n: sorted({h for r in listed if r["n"] == n for h in r["t"]}) for n in known_lengths}
-    of = lambda hashes: F.array(*[F.lit(h) for h in hashes]).cast("array<bigint>")
+    if not listed:
+        return docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("windows")).where(F.lit(False))
+    every = F.array(*[F.lit(h) for h in sorted({h for r in listed for h in r["t"]})])
     # One row each, behind a generator, so that the shingles are made once.
     rows = docs.select(F.col(id_col).alias("id"), F.explode(F.array(_shingles(f"cast(`{text_col}` AS string)", o.shingle))).alias("sh"))
-    rows = rows.where(F.arrays_overlap("sh", of(sorted({h for v in values.values() for h in v}))))
-    found = []
-    for n in known_lengths:
-        step = max(1, n // 4)
-        starts = f"array_union(sequence(0, greatest(size(sh) - {n}, 0), {step}), array(greatest(size(sh) - {n}, 0)))"
-        windows = rows.select("id", F.explode(F.expr(f"transform({starts}, s -> struct(s AS at, slice(sh, s + 1, {n}) AS win, slice(sh, greatest(s - {step}, 0) + 1, {n} + 2 * {step}) AS wide))")).alias("x")).select("id", "x.at", "x.win", "x.wide")
-        windows = windows.where(F.arrays_overlap("win", of(values[n])))
-        banded = windows.select("id", "at", "wide", F.explode(F.expr(_signature("win", o))).alias("key"))
-        keys = known.where(F.col("n") == n).select("license", "t", F.explode("bands").alias("key"))
-        met = banded.join(F.broadcast(keys), "key").select("id", "license", "at", (F.size(F.array_intersect("t", "wide")) / F.lit(float(n))).alias("containment"))
-        found.append(met.where(F.col("containment") >= o.containment))
-    if not found:
-        return docs.select(F.col(id_col), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("windows")).where(F.lit(False))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    rows = rows.where(F.arrays_overlap("sh", every))
+    windows = []
+    for n in sorted({r["n"] for r in listed}):
+        step, last = max(1, n // 4), f"greatest(size(sh) - {n}, 0)"
+        starts = f"array_union(sequence(0, {last}, {step}), array({last}))"
+        windows.append(f"transform({starts}, s -> struct({n} AS n, s AS at, slice(sh, s + 1, {n}) AS win, slice(sh, greatest(s - {step}, 0) + 1, {n} + 2 * {step}) AS wide))")
+    windows = rows.select("id", F.explode(F.expr(f"flatten(array({', '.join(windows)}))")).alias("x")).select("id", "x.n", "x.at", "x.win", "x.wide")
+    banded = windows.where(F.arrays_overlap("win", every)).select("id", "n", "at", "wide", F.explode(F.expr(_signature("win", o))).alias("key"))
+    keys = known.select("license", "n", "t", F.explode("bands").alias("key"))
+    met = banded.join(F.broadcast(keys), ["n", "key"]).select("id", "license", "at", (F.size(F.array_intersect("t", "wide")) / F.col("n")).alias("containment"))
+    out = met.where(F.col("containment") >= o.containment)
     # Bands of one window that agree are one window.
     out = out.groupBy("id", "license", "at").agg(F.max("containment").alias("containment"))
     out = out.groupBy("id", "license").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("first_word"), F.count("*").alias("windows"))
