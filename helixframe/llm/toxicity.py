@@ -118,19 +118,33 @@ def fit(docs: DataFrame, labels: DataFrame, options: FMOptions | None = None, id
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     if not 0 < share < 1:
         return FMModel(o.bits, np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, o.factors)))
-    lists = got.column("terms").combine_chunks()
-    flat = lists.flatten().to_numpy()
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    n1 = np.bincount(flat[y[row] == 1], minlength=1 << o.bits).astype(np.float64)
-    n0 = np.bincount(flat[y[row] == 0], minlength=1 << o.bits).astype(np.float64)
-    total = n0 + n1
-    pooled = np.clip(total / len(y), 1e-9, 1 - 1e-9)
+    lists = got.column("terms")
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, slot) of some rows at a time, so that the driver holds no array of all terms."""
+        at = 0
+        for chunk in lists.chunks:
+            for begin in range(0, len(chunk), 500):
+                part = chunk.slice(begin, 500)
+                size = np.diff(part.offsets.to_numpy())
+                yield np.repeat(np.arange(at, at + len(part)), size), part.flatten().to_numpy()
+                at += len(part)
+
+    counts = np.zeros((2, 1 << o.bits), np.int32)
+    for row, slot in parts():
+        for label in (0, 1):
+            np.add.at(counts[label], slot[y[row] == label], 1)
+    slots = np.flatnonzero(counts.sum(0) >= o.least_rows)
+    n0, n1 = counts[:, slots].astype(np.float64)
+    del counts
+    pooled = np.clip((n0 + n1) / len(y), 1e-9, 1 - 1e-9)
     z = np.abs(n1 / y.sum() - n0 / (len(y) - y.sum())) / np.sqrt(pooled * (1 - pooled) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    slots = np.flatnonzero((total >= o.least_rows) & (z >= o.least_z))
-    number = np.full(1 << o.bits, -1)
+    slots = slots[z >= o.least_z]
+    number = np.full(1 << o.bits, -1, np.int32)
     number[slots] = np.arange(len(slots))
-    column = number[flat]
-    row, column = row[column >= 0], column[column >= 0]
+    kept = [(row[number[slot] >= 0], number[slot[number[slot] >= 0]].astype(np.int64)) for row, slot in parts()]
+    row, column = (np.concatenate(x) for x in zip(*kept, strict=True))
+    del got, lists, number, kept
     # Rows come in no fixed order: sort the incidence list by what each row holds.
     digest = np.bincount(row, (column * 2654435761 % 1000003).astype(np.float64), len(y))
     place = np.empty(len(y), np.int64)
