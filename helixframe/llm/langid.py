@@ -229,11 +229,24 @@ def build(counts: list[dict[int, np.ndarray]], langs: list[str], alphabet: np.nd
     return LangModel(langs, alphabet, orders)
 
 
+def _pieces(texts: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
+    """The texts in lists of about ``most`` characters, which bounds what the driver holds."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def _calibrated(model: LangModel, texts: list[str], langs: list[str], o: LangOptions) -> LangModel:
     """Probability scale of least log loss, and the surprise that right texts stay below."""
     if not texts:
         return model
-    bits, n, letters = model.entropies(texts)
+    bits, n, letters = (np.concatenate(x) for x in zip(*map(model.entropies, _pieces(texts)), strict=True))
     truth = np.array([model.langs.index(x) for x in langs])
     keep = letters
     bits, n, truth = bits[keep], n[keep], truth[keep]
@@ -262,8 +275,10 @@ def fit(labelled: DataFrame, options: LangOptions | None = None, id_col: str = "
     got = sorted(rows.select("lang", "draw", "text").toArrow().to_pylist(), key=lambda r: (r["lang"], r["draw"], r["text"]))
     langs = sorted({r["lang"] for r in got})
     known = [r for i, r in enumerate(got) if i % 5]
-    codes, _ = letter_stream([r["text"] for r in known])
-    letters, often = np.unique(codes[codes > 0], return_counts=True)
+    found = [np.unique(letter_stream(part)[0], return_counts=True) for part in _pieces([r["text"] for r in known])]
+    letters, where = np.unique(np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint32)]), return_inverse=True)
+    often = np.bincount(where, np.concatenate([f[1] for f in found] or [np.zeros(0)]), len(letters))
+    letters, often = letters[letters > 0], often[letters > 0]
     most = (1 << SYMBOL_BITS) - 3
     alphabet = np.sort(letters[np.lexsort((letters, -often))[:most]])
     bare = LangModel(langs, alphabet, [])
@@ -271,8 +286,8 @@ def fit(labelled: DataFrame, options: LangOptions | None = None, id_col: str = "
     for lang in langs:
         texts = [r["text"] for r in known if r["lang"] == lang]
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(texts), 200):
-            codes, bounds = letter_stream(texts[at : at + 200])
+        for part in _pieces(texts):
+            codes, bounds = letter_stream(part)
             packed = ngrams(bare.symbols(codes), bounds, o.order)
             scored = np.ones(len(codes), bool)
             scored[bounds[:-1]] = False
@@ -299,7 +314,7 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end in tx.slices(batch.column(1), tx.SLICE_BYTES // 4):
+            for begin, end in tx.slices(batch.column(1), tx.SLICE_BYTES // 2):
                 best, score, bits, rejected = model.judge(batch.column(1).slice(begin, end - begin).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected)], ["id", "lang_pred", "score", "bits_per_char", "rejected"])
 
@@ -312,7 +327,7 @@ def drop_rejected(docs: DataFrame, model: LangModel, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end in tx.slices(batch.column(at), tx.SLICE_BYTES // 4):
+            for begin, end in tx.slices(batch.column(at), tx.SLICE_BYTES // 2):
                 part = batch.slice(begin, end - begin)
                 yield part.filter(pa.array(~model.judge(part.column(at).to_pylist())[3]))
 
