@@ -180,6 +180,21 @@ def _sets(o: MinHashOptions):
     return run
 
 
+def _of_digest(o: MinHashOptions):
+    """The rows whose shingle set has the digest beside it."""
+
+    def run(batches):
+        for batch in batches:
+            for begin, end in tx.slices(batch.column(1)):
+                part = batch.slice(begin, end - begin)
+                words, first = tx.word_hashes(part.column(1))
+                got = [set_digest(shingle_set(words[first[i] : first[i + 1]], o.shingle)) for i in range(end - begin)]
+                keep = [g == (hi, lo) for g, hi, lo in zip(got, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["id", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _confirmer(o: MinHashOptions):
     def run(batches):
         for batch in batches:
@@ -282,7 +297,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share their component; a row with a null id takes no part in linking, and its
     component is that of its copies, else null; an id repeated with another text
     is judged by each text, and texts whose classes have the same smallest id
-    count as one document.  Of the columns only those two are read, so others
+    count as one document, which links by one of them (that of smallest digest).  Of the columns only those two are read, so others
     may have any name.  An empty table gives an empty one.
     """
     o = options or MinHashOptions()
@@ -292,6 +307,13 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketch = ws.table(texts.mapInArrow(_sketcher(o), SKETCH))
     classes = ws.table(sketch.where("hi IS NOT NULL AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("rep")))
     chosen = sketch.join(classes.select("hi", "lo", F.col("rep").alias("id")), ["hi", "lo", "id"], "left_semi")
+    several = classes.groupBy("rep").agg(F.min(F.struct("hi", "lo")).alias("c"), F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("id"), "c.hi", "c.lo")
+    if several.limit(1).count():
+        # Ids that head several classes are linked by the class of smallest digest.
+        several = ws.table(several)
+        chosen = chosen.join(several.select("id"), "id", "left_anti").unionByName(chosen.join(several, ["id", "hi", "lo"], "left_semi"))
+        by_digest = texts.join(several, "id").select("id", "text", "hi", "lo").mapInArrow(_of_digest(o), "id long, text string")
+        texts = ws.table(texts.join(several.select("id"), "id", "left_anti").unionByName(by_digest))
 
     # Buckets with more than one class, and the star of each.
     members = chosen.select("id", F.explode("bands").alias("key"))
