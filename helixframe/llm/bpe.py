@@ -20,7 +20,7 @@ from helixframe.llm import text as tx
 
 _WIDE = re.compile("[^\x00-\xff]")
 #: Words whose ids a Python worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 
 
 def byte_alphabet() -> list[str]:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Text bytes handled at once; bounds the temporary arrays of a Python worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240101)
 _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -63,6 +63,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         total += int(size)
     if begin < len(column):
         yield begin, len(column)
+    pa.default_memory_pool().release_unused()
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
