@@ -124,7 +124,7 @@ def _spread(rows: DataFrame, picked: DataFrame, shares: DataFrame, ws: Workspace
     key = ["tag", "id", "size", "u"]
     r, p = rows.alias("r"), picked.alias("p")
     same = (F.col("r.tag") == F.col("p.tag")) & F.col("r.id").eqNullSafe(F.col("p.id")) & (F.col("r.size") == F.col("p.size")) & (F.col("r.u") == F.col("p.u"))
-    equal = rows.join(picked.select("tag").distinct(), "tag", "left_semi").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").alias("r")
+    equal = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").alias("r")
     partial = ws.table(equal.join(p, same).where("times < n").select("r.*", "times"))
     q = partial.alias("q")
     in_part = (F.col("r.tag") == F.col("q.tag")) & F.col("r.id").eqNullSafe(F.col("q.id")) & (F.col("r.size") == F.col("q.size")) & (F.col("r.u") == F.col("q.u"))
