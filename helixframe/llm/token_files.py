@@ -194,7 +194,7 @@ def _writer(path: str, bits: int, end_id: int):
 
         size = 0
         for batch in batches:
-            for first, last in tx.slices(batch.column(1), tx.SLICE_BYTES // 2):
+            for first, last in tx.slices(batch.column(1), 1 << 19):
                 texts = batch.column(1).slice(first, last - first).to_pylist()
                 for doc, ids in zip(batch.column(0).slice(first, last - first).to_pylist(), library.encode_many(texts), strict=True):
                     docs.append(doc)
