@@ -29,14 +29,18 @@ class LangOptions:
 
     At most ``most_langs`` languages, the most frequent, are learned.
     A fifth of the rows is kept out of the counts, to calibrate.  ``order`` is the length of
-    the n-grams.  ``slack`` widens the largest surprise seen in calibration, beyond
-    which a text is rejected.
+    the n-grams.  A text is rejected if its surprise is over ``slack`` times that which the
+    share ``usual`` of the calibration rows of its language stays below, so odd rows among them
+    (up to a tenth) do not set the limit; a language with fewer than ``least_rows`` such rows
+    has the limit of all rows.
     """
 
     sample_rows: int = 1500
     most_langs: int = 256
     order: int = 4
-    slack: float = 1.5
+    usual: float = 0.9
+    slack: float = 10.0
+    least_rows: int = 20
     seed: int = 3
 
 
@@ -122,15 +126,17 @@ def _order(packed: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> Order:
 
 @dataclass(frozen=True)
 class LangModel:
-    """``alphabet`` (sorted code points) numbers the symbols from 3; ``orders[n - 1]`` has the n-grams of order n."""
+    """``alphabet`` (sorted code points) numbers the symbols from 3; ``orders[n - 1]`` has the n-grams of order n.
+
+    ``centre`` and ``limit`` have a value for each language, once calibrated.
+    """
 
     langs: list[str]
     alphabet: np.ndarray
     orders: list[Order]
     beta: float = 1.0
-    centre: float = 0.0
-    spread: float = 1.0
-    limit: float = float("inf")
+    centre: np.ndarray | float = 0.0
+    limit: np.ndarray | float = float("inf")
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, codes), max(len(self.alphabet) - 1, 0))
@@ -181,8 +187,12 @@ class LangModel:
         best = bits.argmin(1)
         low = bits[np.arange(len(bits)), best]
         odds = np.exp(np.clip(-self.beta * np.sqrt(n)[:, None] * (bits - low[:, None]), -700, 0))
-        surprise = (low - self.centre) * np.sqrt(np.minimum(n, 400)) / self.spread
-        return np.where(letters, best, -1), np.where(letters, 1 / odds.sum(1), 0.0), low, ~letters | (surprise > self.limit)
+        centre, limit = (np.broadcast_to(x, len(self.langs))[best] for x in (self.centre, self.limit))
+        return np.where(letters, best, -1), np.where(letters, 1 / odds.sum(1), 0.0), low, ~letters | (_surprise(low, n, centre) > limit)
+
+
+def _surprise(bits: np.ndarray, n: np.ndarray, centre: np.ndarray | float) -> np.ndarray:
+    return (bits - centre) * np.sqrt(np.minimum(n, 400))
 
 
 def build(counts: list[dict[int, np.ndarray]], langs: list[str], alphabet: np.ndarray, order: int) -> LangModel:
@@ -243,7 +253,7 @@ def _pieces(texts: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
 
 
 def _calibrated(model: LangModel, texts: list[str], langs: list[str], o: LangOptions) -> LangModel:
-    """Probability scale of least log loss, and the surprise that right texts stay below."""
+    """Probability scale of least log loss, and by language the surprise that right texts stay below."""
     if not texts:
         return model
     bits, n, letters = (np.concatenate(x) for x in zip(*map(model.entropies, _pieces(texts)), strict=True))
@@ -260,10 +270,15 @@ def _calibrated(model: LangModel, texts: list[str], langs: list[str], o: LangOpt
         odds = np.exp(np.clip(-beta * gap, -700, 0))
         losses.append(-np.log(np.maximum(odds[np.arange(len(truth)), truth] / odds.sum(1), 1e-9)).mean())
     beta = grid[int(np.argmin(losses))]
-    centre = float(np.median(low))
-    z = (low - centre) * np.sqrt(np.minimum(n, 400))
-    spread = float(max(np.std(z), 1e-6))
-    return LangModel(model.langs, model.alphabet, model.orders, beta, centre, spread, float(o.slack * max(z.max() / spread, 8.0)))
+    right = bits.argmin(1) == truth
+    right = right if right.any() else ~right
+    centre, limit = np.empty(len(model.langs)), np.empty(len(model.langs))
+    for i in range(len(model.langs)):
+        own = right & (truth == i)
+        own = own if own.sum() >= o.least_rows else right
+        centre[i] = np.median(low[own])
+        limit[i] = o.slack * max(np.quantile(_surprise(low[own], n[own], centre[i]), o.usual), 0.5)
+    return LangModel(model.langs, model.alphabet, model.orders, beta, centre, limit)
 
 
 def fit(labelled: DataFrame, options: LangOptions | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
@@ -303,8 +318,8 @@ def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col
     """``doc_id, lang_pred, score, bits_per_char, rejected`` of every row, from its text alone.
 
     ``score`` is the calibrated probability of the language.  ``rejected`` texts are
-    those without a letter (``und``, score 0) and those whose cross-entropy is further above
-    the usual than calibration saw for any text, allowing for length.  Defined cases: a null
+    those without a letter (``und``, score 0) and those whose cross-entropy is much further above
+    the usual of their language than calibration saw for most texts, allowing for length.  Defined cases: a null
     text counts as empty; ties go to the language first in order; texts are read
     whole; repeated rows and null ids are judged like others; with nothing to learn from
     every text is ``und``; other columns are not read; an empty table gives an empty one.

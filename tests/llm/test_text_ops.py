@@ -206,6 +206,23 @@ def test_language_id_held_out(spark, docs, odd):
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"} and langid.identify(odd.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("left_out", ["en", "de"])
+def test_odd_rows_do_not_set_the_rejection_limit(spark, left_out):
+    """Junk among the labelled rows, and yet a language that was left out and random letters are rejected."""
+    rng = random.Random(6)
+    noise = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=k))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang IS NOT NULL")
+    known = docs.where(F.col("lang") != left_out)
+    langs = [r["lang"] for r in known.select("lang").distinct().collect()]
+    junk = spark.createDataFrame([(10**9 + i, noise(1500), x) for i, x in enumerate(sorted(langs) * 3)], "doc_id long, text string, lang string")
+    model = langid.fit(known.unionByName(junk))
+    rejected = lambda texts: model.judge(texts)[3].mean()
+    assert rejected([r["text"] for r in known.collect()]) < 0.02
+    assert rejected([r["text"] for r in docs.where(F.col("lang") == left_out).collect()]) > 0.9
+    for letters in (40, 100, 400, 2000):
+        assert rejected([noise(letters) for _ in range(50)]) > 0.9
+
+
 def test_factorization_machine_learns_pairs(spark):
     """A pair of words decides, and each of them alone says nothing: no additive model can tell."""
     rng = random.Random(3)
