@@ -22,9 +22,10 @@ _APART = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 12
 class FMOptions:
     """``sample_rows`` bounds the labelled rows that the model is fitted on (drawn by a hash of the id); all rows are scored.
 
-    Terms fall in 2^``bits`` slots; slots of fewer than ``least_rows`` sampled rows, or whose
-    shares in the two labels differ by fewer than ``least_z`` standard errors, are left
-    out.  ``l1`` drives weights and whole factor vectors of uninformative terms to zero.
+    Terms fall in 2^``bits`` slots; slots of fewer than ``least_rows`` sampled rows are left
+    out, and so are those whose shares in the two labels differ by fewer than ``least_z``
+    standard errors, unless they belong to a pair that tells more than both its terms
+    (``paired``).  ``l1`` drives weights and whole factor vectors of uninformative terms to zero.
     """
 
     sample_rows: int = 12000
@@ -101,12 +102,61 @@ def _featurizer(bits: int):
     return run
 
 
+def paired(row: np.ndarray, column: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+    """Which of ``m`` terms are in a pair whose share of label 1 is beyond what its two terms explain.
+
+    ``row, column`` is the incidence list in order of both.  The terms explain the shares between
+    the overall one, their own and that of their odds combined.  All pairs are counted; one
+    counts as informative if its share has a chance (Chernoff's bound) of less than one in the number of pairs.
+    Terms of the same rows are counted once, and terms of too few rows for any such pair not.
+    """
+    out = np.zeros(m, bool)
+    n, ones = np.bincount(column, minlength=m), np.bincount(column[y[row] == 1], minlength=m)
+    share, nats = y.mean(), np.log(max(m * (m - 1) / 2, 2.0))
+    least = nats / -np.log(min(share, 1 - share))
+    key = np.random.default_rng(m).integers(1, 1 << 38, len(y)).astype(np.float64)
+    _, head, same = np.unique(np.bincount(column, key[row], m), return_index=True, return_inverse=True)
+    able = head[n[head] >= least]
+    able.sort()
+    number = np.full(m, -1, np.int32)
+    number[able] = np.arange(len(able))
+    hit = number[column] >= 0
+    row, column, n, ones = row[hit], number[column[hit]], n[able], ones[able]
+    bounds = np.searchsorted(row, np.arange(len(y) + 1))
+    order = np.argsort(column, kind="stable")
+    cuts = np.searchsorted(column[order], np.arange(len(able) + 1))
+    lift = np.log((ones + 0.5) / (y.sum() + 1)) - np.log((n - ones + 0.5) / (len(y) - y.sum() + 1))
+    base = np.log(share / (1 - share))
+    beside = lambda at: np.bincount(np.concatenate([column[i + 1 : e] for i, e in zip(at, bounds[row[at] + 1], strict=True)]), minlength=len(able))
+    for a in range(len(able)):
+        at = order[cuts[a] : cuts[a + 1]]
+        both = beside(at)
+        b = np.flatnonzero(both >= least)
+        hot = at[y[row[at]] == 1]
+        if not len(b):
+            continue
+        got = (beside(hot)[b] if len(hot) else np.zeros(len(b))) / both[b]
+        # Chernoff's bound is at most this, and the overall share is among those explained.
+        far_off = both[b] * (got - share) ** 2 >= nats * share * (1 - share)
+        b, got = b[far_off], got[far_off]
+        if not len(b):
+            continue
+        known = 1 / (1 + np.exp(-(base + np.stack([np.zeros(len(b)), np.full(len(b), lift[a]), lift[b], lift[a] + lift[b]]))))
+        near = np.clip(got, known.min(0), known.max(0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = np.where(got > 0, got * np.log(got / near), 0) + np.where(got < 1, (1 - got) * np.log((1 - got) / (1 - near)), 0)
+        b = b[both[b] * far >= nats]
+        out[able[b]] = True
+        out[able[a]] |= len(b) > 0
+    return out[head][same]
+
+
 def fit(docs: DataFrame, labels: DataFrame, options: FMOptions | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> FMModel:
     """Fit on the documents that ``labels`` (id, label of 0 or 1) names.
 
     The bounded sample is drawn from the labels, so it may be broadcast and only the texts it
     names are read for it.  Of several labels of an id the largest counts.  No labelled
-    document, or one label only: every score is the share of label 1.
+    document, one label only, or no term that tells anything: every score is the share of label 1.
     """
     o = options or FMOptions()
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -116,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, options: FMOptions | None = None, id
     y = got.column("label").to_numpy().astype(np.float64)
     share = float(y.mean()) if len(y) else 0.0
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+    flat = FMModel(o.bits, np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, o.factors)))
     if not 0 < share < 1:
-        return FMModel(o.bits, np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, o.factors)))
+        return flat
     lists = got.column("terms")
 
     def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -139,18 +190,29 @@ def fit(docs: DataFrame, labels: DataFrame, options: FMOptions | None = None, id
     del counts
     pooled = np.clip((n0 + n1) / len(y), 1e-9, 1 - 1e-9)
     z = np.abs(n1 / y.sum() - n0 / (len(y) - y.sum())) / np.sqrt(pooled * (1 - pooled) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-    slots = slots[z >= o.least_z]
     number = np.full(1 << o.bits, -1, np.int32)
-    number[slots] = np.arange(len(slots))
-    kept = [(row[number[slot] >= 0], number[slot[number[slot] >= 0]].astype(np.int64)) for row, slot in parts()]
-    row, column = (np.concatenate(x) for x in zip(*kept, strict=True))
-    del got, lists, number, kept
+
+    def incidence(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number[:] = -1
+        number[slots] = np.arange(len(slots))
+        kept = [(row[number[slot] >= 0].astype(np.int32), number[slot[number[slot] >= 0]]) for row, slot in parts()]
+        return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+
+    telling = z >= o.least_z
+    if not telling.all():
+        telling |= paired(*incidence(slots), y, len(slots))
+    slots = slots[telling]
+    if not len(slots):
+        return flat
+    row, column = (x.astype(np.int64) for x in incidence(slots))
+    del got, lists, number
     # Rows come in no fixed order: sort the incidence list by what each row holds.
     digest = np.bincount(row, (column * 2654435761 % 1000003).astype(np.float64), len(y))
     place = np.empty(len(y), np.int64)
     place[np.lexsort((digest, y))] = np.arange(len(y))
     order = np.lexsort((column, place[row]))
-    return _descend(place[row][order], column[order], np.sort(y), slots, bias, o)
+    model = _descend(place[row][order], column[order], np.sort(y), slots, bias, o)
+    return model if len(model.slots) else flat
 
 
 def _descend(row: np.ndarray, column: np.ndarray, y: np.ndarray, slots: np.ndarray, bias: float, o: FMOptions) -> FMModel:

@@ -239,6 +239,28 @@ def test_factorization_machine_learns_pairs(spark):
     assert got.agg(F.avg((F.col("predicted") == F.col("label")).cast("int"))).first()[0] > 0.95
 
 
+def test_pairs_are_learned_with_the_options_of_the_queries(spark):
+    """Two words are toxic only together, each as often in clean texts as in toxic ones."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        a = rng.random() < 0.5
+        b = a if rng.random() < 0.2 else not a
+        words = ["alpha" if a else "omega", "north" if b else "south", *rng.choices([f"{x}{y}" for x in ("bal", "tor", "min", "vex") for y in ("en", "us", "ia")], k=8)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(df.where("doc_id < 2400"), df.select("doc_id", "label"))
+    got = toxicity.score(df.where("doc_id >= 2400"), model).join(df, "doc_id")
+    assert got.agg(F.avg((F.col("predicted") == F.col("label")).cast("int"))).first()[0] > 0.95
+
+
+def test_toxicity_without_a_telling_term(spark):
+    df = spark.createDataFrame([(i, "same words in all", int(i % 10 == 0)) for i in range(200)], "doc_id long, text string, label int")
+    got = toxicity.score(df, toxicity.fit(df, df.select("doc_id", "label"))).agg(F.min("score"), F.max("score")).first()
+    assert abs(got[0] - 0.1) < 1e-3 and abs(got[1] - 0.1) < 1e-3
+
+
 def test_toxicity_held_out(spark, odd):
     # A fifth of the rows is toxic by one of a few insults with varying ends.
     rng = random.Random(4)
