@@ -28,13 +28,13 @@ def finite_or_zero(x: Column) -> Column:
 
 
 def scale_clamp(x: Column, scale: float | None = None, clamp_max: float | None = None) -> Column:
-    """NaN as 0, then times ``scale``, then at most ``clamp_max``, all in bf16.  There is no lower clamp."""
-    x = nan_to_zero(x)
+    """NaN as 0; others times ``scale``, then at most ``clamp_max``, all in bf16.  There is no lower clamp."""
+    y = x
     if scale is not None:
-        x = bf16(x.cast("double") * bf16(F.lit(scale)).cast("double"))
+        y = bf16(y.cast("double") * bf16(F.lit(scale)).cast("double"))
     if clamp_max is not None:
-        x = F.least(x, bf16(F.lit(clamp_max)))
-    return x
+        y = F.least(y, bf16(F.lit(clamp_max)))
+    return F.when(F.isnan(x), F.lit(0.0).cast("float")).otherwise(y)
 
 
 def log1p(x: Column) -> Column:

@@ -11,8 +11,13 @@ def _need(key: str) -> Column:
     return F.when(value.isNull(), F.raise_error(F.lit(f"attribute {key} is missing"))).otherwise(value)
 
 
+def is_coding(kind: Column, coding: str = "protein_coding") -> Column:
+    """Whether the type is that of coding genes; null without a type."""
+    return kind == coding
+
+
 def _coding(key: str) -> Column:
-    return F.try_element_at("attributes", F.lit(key)) == "protein_coding"
+    return is_coding(F.try_element_at("attributes", F.lit(key)))
 
 
 def _place() -> list[Column]:

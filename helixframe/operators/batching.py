@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.ranges import ordinal
+
 
 def worker_counts(n: int, workers: int, batch_size: int) -> list[int]:
     """Elements that each worker gets when element i goes to worker floor(i / batch_size) mod workers."""
@@ -43,19 +45,25 @@ def rebatch(df: DataFrame, batch_size: int, row_idx: str = "row_idx") -> DataFra
     return df.withColumn("batch_id", F.floor(F.col(row_idx) / batch_size).cast("long")).withColumn("pos_in_batch", (F.col(row_idx) % batch_size).cast("int"))
 
 
-#: A linear congruence on whole numbers, which SQL engines agree on.
-MULTIPLIER, INCREMENT, MODULUS = 1103515245, 12345, 2**31
+#: Bits of a random draw: 13 hexadecimal digits of an MD5, which SQL engines agree on.
+DRAW_BITS = 52
 
 
 def draw(key: Column, seed: int, epoch: int = 0) -> Column:
-    """A whole number below 2^31 for each key, fixed by seed and epoch."""
-    x = (key.cast("long") % 1_000_003 * MULTIPLIER + (seed % 1_000_003) * INCREMENT + (epoch % 1_000_003) * 7919) % MODULUS
-    return (x * MULTIPLIER + INCREMENT) % MODULUS
+    """A whole number below 2^52 for each key, fixed by key, seed and epoch and unrelated between any two of them."""
+    text = F.concat(key.cast("string"), F.lit(f":{seed}:{epoch}"))
+    return F.conv(F.substring(F.md5(text), 1, DRAW_BITS // 4), 16, 10).cast("long")
+
+
+def shuffled(rows: DataFrame, key: str, seed: int, epoch: int = 0, name: str = "ord") -> DataFrame:
+    """Consecutive numbers from 0 in a random order of the rows, another for each seed and epoch."""
+    drawn = rows.withColumn("_draw", draw(F.col(key), seed, epoch))
+    return ordinal(drawn, "_draw", name, width=1 << 42, then=[key]).drop("_draw")
 
 
 def random_shift(key: Column, width: int, resolution: int, seed: int, epoch: int = 0) -> Column:
     """A shift in [-width, width], cut towards 0 to a multiple of the resolution."""
-    u = F.floor(draw(key, seed, epoch) / 65536) % (2 * width + 1) - width
+    u = draw(key, seed, epoch) % (2 * width + 1) - width
     return (F.signum(u) * F.floor(F.abs(u) / resolution) * resolution).cast("int")
 
 

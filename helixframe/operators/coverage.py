@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.operators.ranges import clip, fit_to_bin, overlap_join
+from helixframe.operators.ranges import clip, fit_to_bin, overlap_join, prefix_sums
 
 UNMAPPED, SECONDARY, SUPPLEMENTARY, REVERSE, PAIRED = 0x4, 0x100, 0x800, 0x10, 0x1
 
@@ -122,12 +122,12 @@ def coverage(fragments: DataFrame, sizes: DataFrame, bin_size: int = 1, method:
     if include is not None:
         counted = _mark(counted, include, "_x").where("_x").drop("_x")
     runs = clip(pile_up(fit_to_bin(rows, bin_size), by), sizes)
-    if smooth:
-        runs = smooth_box(runs, sizes, smooth, by)
     if method == "BPM":
         total = runs.groupBy(*by).agg(F.sum(F.col("value") * F.floor((F.col("end") - F.col("start")) / bin_size)).alias("_w")).withColumn("_l", F.lit(0.0))
     else:
         total = counted.groupBy(*by).agg(F.sum((F.col("end") - F.col("start")).cast("double")).alias("_l")).withColumn("_w", F.lit(0.0))
+    if smooth:  # a mean of normalised values is the normalised mean, so the totals above are those of plain coverage
+        runs = smooth_box(runs, sizes, smooth, by)
     both = runs.join(total, by) if by else runs.crossJoin(F.broadcast(total))  # one row
     return both.withColumn("value", F.col("value") / norm_factor(method, bin_size, F.col("_l"), F.col("_w"))).select(*by, "chrom", "start", "end", "value")
 
@@ -143,7 +143,8 @@ def smooth_box(runs: DataFrame, sizes: DataFrame, width: int, by: list[str] | No
     """Moving mean over ``width`` bases: at i the sum of values in [i - right, i + left] over ``width``, also at the edges.
 
     A run is a trapezoid of the moving sum, which second differences at four positions
-    give; two running sums make the values, one run a base where the sum is sloped.
+    give.  They are summed to slopes, and the slopes' rises to the sum at each bend, so
+    what is summed has a row a bend; bases of a slope become rows of their own at the very end.
     """
     if width <= 1:
         return runs
@@ -155,11 +156,12 @@ def smooth_box(runs: DataFrame, sizes: DataFrame, width: int, by: list[str] | No
     v = F.col("value").cast("double")
     at = F.array(F.struct(s.alias("pos"), v.alias("d")), F.struct((s + m).alias("pos"), (-v).alias("d")), F.struct((e - m + 1).alias("pos"), (-v).alias("d")), F.struct((e + 1).alias("pos"), v.alias("d")))
     second = runs.select(*by, F.explode(at).alias("x")).groupBy(*by, F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"))
-    sloped = _runs(second, by, slice_width)
-    # A slope of 0 keeps one run; elsewhere every base has a value of its own.
-    flat = F.abs(F.col("value")) < 1e-12
-    pieces = sloped.select(*by, F.explode(F.when(flat, F.array(F.struct(F.col("start").alias("pos"), F.lit(0.0).alias("d")))).otherwise(F.transform(F.sequence(F.col("start"), F.col("end") - 1), lambda p: F.struct(p.alias("pos"), F.col("value").alias("d"))))).alias("x"))
-    stops = sloped.groupBy(*by).agg(F.max("end").alias("pos")).withColumn("d", F.lit(0.0))
-    sums = _runs(pieces.select(*by, "x.pos", "x.d").unionByName(stops).groupBy(*by, "pos").agg(F.sum("d").alias("d")), by, slice_width)
-    out = sums.withColumn("start", F.greatest("start", F.lit(0))).withColumn("value", F.col("value") / width).where("`end` > start AND abs(value) > 1e-12")
+    slopes = _runs(second, by, slice_width).withColumnRenamed("value", "slope")
+    rise = F.col("slope") * (F.col("end") - F.col("start"))
+    bends = prefix_sums(slopes, by, ["start"], rise, "_top", F.floor(F.col("start") / slice_width).cast("long"))
+    below = F.col("_top") - rise
+    flat = F.array(F.struct("start", "end", below.alias("sum")))
+    sloped = F.transform(F.sequence(F.col("start"), F.col("end") - 1), lambda p: F.struct(p.alias("start"), (p + 1).alias("end"), (below + F.col("slope") * (p - F.col("start") + 1)).alias("sum")))
+    out = bends.select(*by, F.explode(F.when(F.abs("slope") < 1e-12, flat).otherwise(sloped)).alias("x")).select(*by, "x.start", "x.end", (F.col("x.sum") / width).alias("value"))
+    out = out.withColumn("start", F.greatest("start", F.lit(0))).where("`end` > start AND abs(value) > 1e-12")
     return clip(out, sizes)

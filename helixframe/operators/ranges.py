@@ -101,21 +101,53 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 65_536) -> Data
     return both.where(F.floor(F.greatest("start", "r_start") / width) == F.col("_bucket")).drop("_bucket")
 
 
-def gap_islands(df: DataFrame, left: int, right: int) -> DataFrame:
-    """``island`` numbers runs of neighbours: a new one starts unless the furthest end so far + right exceeds start - left."""
-    w = W.partitionBy("chrom").orderBy("start", "end")
-    far = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.coalesce((far + right <= F.col("start") - left).cast("int"), F.lit(1))
-    return df.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+def prefix_sums(df: DataFrame, by: list[str], order: list[str], value: Column, name: str, slice_: Column) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over the rows of a group up to this one in ``order``.
+
+    Two levels: sums inside slices of a group, and over its slices, so a large group is no
+    single task.  ``slice_`` is a whole number that does not fall along ``order``.
+    """
+    sliced = df.withColumn("_slice", slice_).withColumn("_value", value)
+    totals = sliced.groupBy(*by, "_slice").agg(F.sum("_value").alias("_total"))
+    base = totals.select(*by, "_slice", (F.sum("_total").over(W.partitionBy(*by).orderBy("_slice")) - F.col("_total")).alias("_base"))
+    inside = F.sum("_value").over(W.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return sliced.join(base, [*by, "_slice"]).withColumn(name, F.col("_base") + inside).drop("_slice", "_value", "_base")
+
+
+def gap_islands(df: DataFrame, left: int, right: int, slice_width: int = 1 << 20) -> DataFrame:
+    """``island`` numbers runs of neighbours: a new one starts unless the furthest end so far + right exceeds start - left.
+
+    The furthest end is taken inside slices of a chromosome and over the slices before.
+    """
+    slice_ = F.floor(F.col("start") / slice_width).cast("long")
+    sliced = df.withColumn("_slice", slice_)
+    ends = sliced.groupBy("chrom", "_slice").agg(F.max("end").alias("_end"))
+    base = ends.select("chrom", "_slice", F.max("_end").over(W.partitionBy("chrom").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)).alias("_far"))
+    inside = F.max("end").over(W.partitionBy("chrom", "_slice").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
+    both = sliced.join(base, ["chrom", "_slice"]).withColumn("_far", F.greatest("_far", inside))  # skips nulls
+    fresh = F.coalesce((F.col("_far") + right <= F.col("start") - left).cast("int"), F.lit(1))
+    marked = both.withColumn("_new", fresh).drop("_slice", "_far")
+    return prefix_sums(marked, ["chrom"], ["start", "end"], F.col("_new"), "island", slice_).drop("_new")
+
+
+def by_length(sizes: DataFrame) -> DataFrame:
+    """Adds ``place`` to (chrom, size): from 1 by falling size, of equal ones by name.  One row a chromosome."""
+    return sizes.withColumn("place", F.row_number().over(W.orderBy(F.desc("size"), "chrom")).cast("long"))
+
+
+def first_seen_chroms(df: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """Each chromosome with the first place at which it is named."""
+    return df.groupBy("chrom").agg(F.min(ord_col).alias("first"))
 
 
-def ordinal(df: DataFrame, key: str, name: str = "ord", width: int = 65_536) -> DataFrame:
+def ordinal(df: DataFrame, key: str, name: str = "ord", width: int = 65_536, then: list[str] | None = None) -> DataFrame:
     """Consecutive numbers from 0 by ascending ``key`` (a whole number), without sorting all rows in one task.
 
-    Rows are counted by slices of the key; only the slices are summed in order.
+    Rows are counted by slices of the key; only the slices are summed in order.  Rows of
+    equal key stand in the order of ``then``.
     """
     sliced = df.withColumn("_slice", F.floor(F.col(key) / width).cast("long"))
     counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
     base = counts.select("_slice", (F.sum("_n").over(W.orderBy("_slice")) - F.col("_n")).alias("_base"))
-    at = F.row_number().over(W.partitionBy("_slice").orderBy(key)) - 1
+    at = F.row_number().over(W.partitionBy("_slice").orderBy(key, *(then or []))) - 1
     return sliced.join(base, "_slice").withColumn(name, (F.col("_base") + at).cast("long")).drop("_slice", "_base")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions.arrays import scatter
 from helixframe.functions.numeric import bf16, finite_or_zero, log1p
 
 
@@ -21,9 +22,11 @@ def normalise_total(runs: DataFrame, factor: float, by: list[str] | None = None)
     return both.withColumn("value", (F.col("value").cast("double") / (F.col("_total") / factor)).cast("float")).drop("_total")
 
 
-def track_stats(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+def track_stats(runs: DataFrame, by: list[str] | None = None, length: int | None = None) -> DataFrame:
     """min, max, sum, mean, variance and their like over base pairs with finite values.
 
+    With ``length``, the base pairs of the genome, those that no run covers count as 0.
+
     ``stddev_compat`` is the population variance (what some stores keep under the name of a
     standard deviation); ``stddev`` is its root.
     """
@@ -33,6 +36,10 @@ def track_stats(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
     out = runs.where(finite).groupBy(*(["track"] if by is None else by)).agg(
         F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v * n).alias("sum"), F.sum(square * n).alias("_squares"), F.sum(n).alias("n")
     )
+    if length is not None:
+        bare = F.col("n") < length
+        low, high = (F.when(bare, f(c, F.lit(0.0))).otherwise(F.col(c)).alias(c) for f, c in ((F.least, "min"), (F.greatest, "max")))
+        out = out.select(*[c for c in out.columns if c not in ("min", "max", "n")], low, high, F.greatest("n", F.lit(float(length))).alias("n"))
     mean = F.col("sum") / F.col("n")
     out = out.withColumn("mean", mean).withColumn("variance", F.col("_squares") / F.col("n") - F.col("mean") * F.col("mean"))
     return out.withColumn("stddev", F.sqrt(F.greatest("variance", F.lit(0.0)))).withColumn("stddev_compat", F.col("variance")).drop("_squares")
@@ -65,10 +72,10 @@ def bin_sums(segments: DataFrame, runs: DataFrame, window: int, padding: int, re
 
 def dense(binned: DataFrame, segments: DataFrame, keys: DataFrame, length: int, by: str = "track_idx") -> DataFrame:
     """(seg_idx, track_idx, values): an array of ``length`` bins for every segment and key, 0 where no run was."""
-    have = binned.groupBy("seg_idx", by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "mean"))).alias("m"))
+    have = binned.groupBy("seg_idx", by).agg(F.collect_list(F.struct("bin", "mean")).alias("m"))
     every = segments.select("seg_idx").crossJoin(F.broadcast(keys.select(by)))  # keys are the few tracks of one call
     zero = F.lit(0.0).cast("float")
-    filled = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero))
+    filled = scatter(F.col("m"), length, "bin", "mean")
     return every.join(have, ["seg_idx", by], "left").select("seg_idx", by, F.when(F.col("m").isNull(), F.array_repeat(zero, length)).otherwise(filled).alias("values"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +22,18 @@ def _codes(seqs: Sequence[str]) -> np.ndarray:
 
 
 class Loader:
-    """Batches of (sequences, values of shape rows x bins x tracks), in a fixed order for each epoch."""
+    """Batches of (sequences, values of shape rows x bins x tracks), in a fixed order for each epoch.
+
+    ``for`` over a loader with ``shuffle`` goes on to the next epoch each time; ``epoch(n)`` gives
+    a chosen one.  A copy goes on from where its original stands.
+    """
 
     def __init__(self, spark: SparkSession, location: str, *, batch_size: int = 8, resolution: int | None = None, target_length: int | None = None, scale: float | None = None, clamp_max: float | None = None, window_size: int | None = None, shuffle: bool = False, random_shift: int = 0, seq_as_string: bool = False, n_jobs: int = 1, random_seed: int = 2025):
         self.spark = spark
         self.store = Store(spark, location, ReadOptions(random_shift, resolution, target_length, window_size, scale, clamp_max, random_seed))
         self.batch_size, self.shuffle, self.seq_as_string, self.n_jobs, self.seed = batch_size, shuffle, seq_as_string, n_jobs, random_seed
         self.subset: DataFrame | None = None
+        self.next_epoch = 0
 
     def copy(self) -> Loader:
         out = object.__new__(type(self))
@@ -81,8 +87,7 @@ class Loader:
         rows = self.segment_rows().select("seg_idx")
         if not self.shuffle:
             return ranges.ordinal(rows, "seg_idx")
-        key = batching.draw(F.col("seg_idx"), self.seed, epoch) * (1 << 31) + F.col("seg_idx") % (1 << 31)
-        return ranges.ordinal(rows.withColumn("_key", key), "_key", width=1 << 52).drop("_key")
+        return batching.shuffled(rows, "seg_idx", self.seed, epoch)
 
     def batches(self, epoch: int = 0, tracks: list[int] | None = None) -> DataFrame:
         """(batch_id, pos_in_batch, seg_idx, split_idx, seq, values), in no particular row order."""
@@ -104,10 +109,16 @@ class Loader:
         seqs = [r["seq"].upper() for r in rows]
         return seqs if self.seq_as_string else _codes(seqs)
 
+    def advance(self) -> int:
+        """The epoch of the iteration that begins now: with ``shuffle`` each has a new one, without it all are alike."""
+        now = self.next_epoch
+        self.next_epoch += int(self.shuffle)
+        return now
+
     def __iter__(self) -> Iterator[tuple]:
-        return self.epoch(0)
+        return self.epoch(self.advance())
 
-    def hist(self, bins: int = 50, limit: int = 100, min: float | None = None, log: bool = False, savefig: str | None = None) -> DataFrame:  # noqa: A002
+    def hist(self, bins: int = 10_000, limit: int = 100, min: float | None = None, log: bool = False, savefig: str | None = None) -> DataFrame:  # noqa: A002
         """Histogram of the values of the first ``limit`` batches."""
         rows = self.batches().where(F.col("batch_id") < limit).select(F.explode(F.flatten("values")).alias("value"))
         out = signal.histogram(rows, bins, min, log)
@@ -165,18 +176,10 @@ class Indexer:
 
     def __getitem__(self, key: tuple) -> tuple[list[str], np.ndarray]:
         where, tracks = key
-        store = self.loader.store
-        wanted = [tracks] if isinstance(tracks, (str, int)) else list(tracks)
-        idx = [store.track_names.index(t) if isinstance(t, str) else int(t) for t in wanted]
-        if isinstance(where, str):
-            segments = ranges.intersection(store.segments(), ranges.regions(self.loader.spark, [where]))
-        else:
-            segments = store.segments().where(F.col("seg_idx") == int(where))
-        rows = store.read(segments, sorted(set(idx))).orderBy("split_idx").collect()
+        rows = self.loader.store.point(where, tracks).orderBy("split_idx").collect()
         if not rows:
             raise KeyError(where)
-        place = {t: i for i, t in enumerate(sorted(set(idx)))}
-        return [r["seq"].upper() for r in rows], _cube([r["values"] for r in rows])[:, :, [place[t] for t in idx]]
+        return [r["seq"].upper() for r in rows], _cube([r["values"] for r in rows])
 
 
 class LoaderMap:
@@ -239,8 +242,12 @@ class LoaderMap:
         for rows in _in_batches(self.batches(epoch)):
             yield first._seqs(rows), {k: _cube([r[f"values_{k}"] for r in rows]) for k in self.loaders}
 
+    def advance(self) -> int:
+        """The epoch of the first loader, which orders all; the others go along."""
+        return [loader.advance() for loader in self.loaders.values()][0]
+
     def __iter__(self) -> Iterator[tuple]:
-        return self.epoch(0)
+        return self.epoch(self.advance())
 
     def __repr__(self) -> str:
         return f"LoaderMap({', '.join(self.loaders)}; batch {self.batch_size})"
@@ -269,8 +276,13 @@ class CatLoader:
     def batches(self, epoch: int = 0) -> DataFrame:
         return batching.interleave([m.batches(epoch) for m in self.maps])
 
+    def epoch(self, epoch: int = 0) -> Iterator[tuple]:
+        return self._in_turn([m.epoch(epoch) for m in self.maps])
+
     def __iter__(self) -> Iterator[tuple]:
-        turns = [iter(m) for m in self.maps]
+        return self._in_turn([iter(m) for m in self.maps])
+
+    def _in_turn(self, turns: list[Iterator[tuple]]) -> Iterator[tuple]:
         while turns:
             for turn in list(turns):
                 try:
@@ -278,6 +290,22 @@ class CatLoader:
                 except StopIteration:
                     turns.remove(turn)
 
+    def __repr__(self) -> str:
+        return f"CatLoader({'; '.join(map(repr, self.maps))})"
+
+
+def _array_rows(at: int, x: np.ndarray, y: np.ndarray) -> pa.Table:
+    """Rows of one piece as a table, made from the arrays' own buffers."""
+
+    def lists(rows: np.ndarray, kind) -> pa.Array:
+        flat = np.ascontiguousarray(rows).reshape(len(rows), -1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel(), kind))
+
+    columns = {"row_idx": pa.array(np.arange(at, at + len(x))), "input": lists(x, pa.float32()), "target": lists(y, pa.float32())}
+    for name, part in (("input_shape", x), ("target_shape", y)):
+        columns[name] = lists(np.tile(np.array(part.shape[1:], np.int32), (len(part), 1)).reshape(len(part), part.ndim - 1), pa.int32())
+    return pa.table(columns)
+
 
 class ArrayLoader:
     """A cache of (input, target) arrays of any shape, read back in batches along the first axis."""
@@ -292,9 +320,7 @@ class ArrayLoader:
             if first is not None and shapes != first:
                 raise ValueError("row shapes differ")
             first = shapes
-            rows = [(at + i, [float(v) for v in x[i].ravel()], [float(v) for v in y[i].ravel()], list(shapes[0]), list(shapes[1])) for i in range(len(x))]
-            schema = "row_idx long, input array<float>, target array<float>, input_shape array<int>, target_shape array<int>"
-            spark.createDataFrame(rows, schema).coalesce(1).write.mode("errorifexists" if part == 0 else "append").option("compression", "zstd").parquet(location)
+            spark.createDataFrame(_array_rows(at, x, y)).coalesce(1).write.mode("errorifexists" if part == 0 else "append").option("compression", "zstd").parquet(location)
             at, part = at + len(x), part + 1
         if first is None:
             raise ValueError("no data")
@@ -315,6 +341,9 @@ class ArrayLoader:
     def __len__(self) -> int:
         return -(-self.rows.count() // self.batch_size)
 
+    def __repr__(self) -> str:
+        return f"ArrayLoader({self.rows.count()} rows, batch {self.batch_size})"
+
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for rows in _in_batches(self.batches()):
             yield tuple(np.array([r[k] for r in rows], np.float32).reshape(len(rows), *rows[0][f"{k}_shape"]) for k in ("input", "target"))

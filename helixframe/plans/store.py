@@ -20,11 +20,7 @@ from helixframe.functions import arrays
 from helixframe.operators import ranges, signal
 from helixframe.operators.batching import random_shift
 from helixframe.sources import fasta
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+from helixframe.sources.files import exists as _exists
 
 
 class DatasetBuilder:
@@ -39,10 +35,9 @@ class DatasetBuilder:
             raise FileExistsError(location)
         self.spark, self.location = spark, location
         self.window_size, self.resolution, self.padding = window_size, resolution, padding
-        chunks = fasta.read_fasta(spark, genome_fasta)
+        chunks, self.sizes = fasta.read_fasta(spark, genome_fasta), fasta.sizes(spark, genome_fasta)
         if chroms is not None:
-            chunks = chunks.where(F.col("chrom").isin(chroms))
-        self.sizes = chunks.groupBy("chrom").agg(F.sum(F.length("seq")).alias("size"))
+            chunks, self.sizes = (x.where(F.col("chrom").isin(chroms)) for x in (chunks, self.sizes))
         if segments is not None:
             wanted = ranges.first_seen(ranges.expand(ranges.regions(spark, segments), self.sizes, window_size))
             plan = ranges.ordinal(wanted, "ord", "seg_idx")
@@ -94,6 +89,8 @@ class DatasetBuilder:
         """Add a track from a signal store (its first track), a BigWig file, or Parquet runs."""
         from helixframe.sources.bigwig import read_bigwig
 
+        if path.lower().endswith((".h5", ".hdf5", ".w5z")):
+            raise NotImplementedError(f"HDF5 needs a library that is not there; convert {path} to a signal store first")
         if path.lower().endswith((".bw", ".bigwig")):
             runs = read_bigwig(self.spark, path)
         elif _exists(self.spark, f"{path}/runs"):
@@ -211,3 +208,26 @@ class Store:
         segments = self.segments() if segments is None else segments
         stacked = self.values(segments, tracks, epoch).groupBy("seg_idx", "split_idx").agg(arrays.stack_tracks("track_idx", "values").alias("values"))
         return self.sequences(segments, epoch).join(stacked, ["seg_idx", "split_idx"], "left")
+
+    def point(self, where: str | int, tracks: str | int | list) -> DataFrame:
+        """(seg_idx, split_idx, seq, values) of one window, by region or number; an array a track, as asked for.
+
+        Tracks are named or numbered, one or a list, in any order and as often as wanted.
+        A window that the store does not hold gives no row.
+        """
+        wanted = [tracks] if isinstance(tracks, (str, int)) else list(tracks)
+        idx = [self.track_names.index(t) if isinstance(t, str) else int(t) for t in wanted]
+        if isinstance(where, str):
+            segments = ranges.intersection(self.segments(), ranges.regions(self.spark, [where]))
+        else:
+            segments = self.segments().where(F.col("seg_idx") == int(where))
+        place = {t: i for i, t in enumerate(sorted(set(idx)))}
+        picked = F.array(*[F.get("values", F.lit(place[t])) for t in idx])
+        return self.read(segments, list(place)).withColumn("values", picked)
+
+    def counts(self, segments: DataFrame | None = None) -> DataFrame:
+        """(track_idx, track, segments): how many windows each track has values for."""
+        segments = self.segments() if segments is None else segments
+        rows = self.spark.read.parquet(f"{self.location}/values").select("seg_idx", "track_idx").join(segments.select("seg_idx"), "seg_idx", "left_semi")
+        names = self.spark.read.parquet(f"{self.location}/tracks")
+        return names.join(rows.groupBy("track_idx").agg(F.count("*").alias("segments")), "track_idx", "left")

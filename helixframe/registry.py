@@ -109,11 +109,10 @@ def signal_verify(spark, sf_dir):
     return signal.verify_sum(signal.track_stats(runs, ["chrom"]), kept, "chrom").withColumn("difference", F.round("difference", 12))
 
 
-@_query(f"WITH {SIG} SELECT chrom, pos AS start, round((value / ((SELECT sum(value) FROM sig) / 1000000.0))::DOUBLE, 6) AS value FROM sig")
+@_query(f"WITH {SIG} SELECT chrom, pos AS start, round((value / ((SELECT sum(value) FROM sig) / 1000000.0))::FLOAT::DOUBLE, 3) AS value FROM sig")
 def norm_total(spark, sf_dir):
-    runs = _signal(spark, sf_dir)
-    total = runs.groupBy("track").agg(F.sum(F.col("value") * (F.col("end") - F.col("start"))).alias("t"))
-    return runs.join(total, "track").select("chrom", "start", F.round(F.col("value") / (F.col("t") / 1e6), 6).alias("value"))
+    runs = signal.normalise_total(_signal(spark, sf_dir), 1e6)
+    return runs.select("chrom", "start", F.round(F.col("value").cast("double"), 3).alias("value"))
 
 
 def _hist_sql(value: str, where: str) -> str:
@@ -171,8 +170,8 @@ def scale_clamp_nan(spark, sf_dir):
     return _windows(spark, sf_dir, nan=True).select("vec_id", F.posexplode(arrays.transform_values("values", 2.0, 0.25)).alias("i", "v"))
 
 
-_DRAW = lambda key, seed: f"(((({key}) % 1000003 * 1103515245 + {seed} * 12345) % 2147483648) * 1103515245 + 12345) % 2147483648"
-_SHIFT = lambda key, w, res, seed: f"(sign(({_DRAW(key, seed)}) // 65536 % {2 * w + 1} - {w}) * (abs(({_DRAW(key, seed)}) // 65536 % {2 * w + 1} - {w}) // {res}) * {res})::INT"
+_DRAW = lambda key, seed, epoch=0: f"('0x' || substr(md5(({key})::VARCHAR || ':{seed}:{epoch}'), 1, 13))::BIGINT"
+_SHIFT = lambda key, w, res, seed: f"(sign(({_DRAW(key, seed)}) % {2 * w + 1} - {w}) * (abs(({_DRAW(key, seed)}) % {2 * w + 1} - {w}) // {res}) * {res})::INT"
 
 
 @_query(f"""WITH {_EMB}, p AS (SELECT vec_id, i - 8 - {_SHIFT('vec_id', 8, 2, 2025)} AS i, x FROM e),
@@ -192,8 +191,7 @@ def random_shift(spark, sf_dir):
 
 @_query(f"SELECT vec_id, row_number() OVER (ORDER BY {_DRAW('vec_id', 7)}, vec_id) - 1 AS ord FROM embeddings")
 def shuffle_order(spark, sf_dir):
-    rows = _read(spark, sf_dir, "embeddings").select("vec_id", (batching.draw(F.col("vec_id"), 7) * (1 << 31) + F.col("vec_id")).alias("key"))
-    return ranges.ordinal(rows, "key", width=1 << 52).select("vec_id", "ord")
+    return batching.shuffled(_read(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 7)
 
 
 # Fragments
@@ -341,20 +339,12 @@ def distinct_segments(spark, sf_dir):
 
 @_query("SELECT l_returnflag AS chrom, row_number() OVER (ORDER BY max(l_partkey) DESC, l_returnflag) AS place, max(l_partkey) AS size FROM lineitem GROUP BY 1")
 def length_sorted_chroms(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    sizes = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("chrom")).agg(F.max("l_partkey").alias("size"))
-    return sizes.withColumn("place", F.row_number().over(W.orderBy(F.desc("size"), "chrom")).cast("long"))  # one row a chromosome
+    return ranges.by_length(_read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("chrom")).agg(F.max("l_partkey").alias("size")))
 
 
 @_query("SELECT l_returnflag AS chrom, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1")
 def first_seen_chroms(spark, sf_dir):
-    return _read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("chrom")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"))
-
-
-@_query("SELECT label AS track, count(*) AS segments FROM embeddings GROUP BY 1")
-def track_counts(spark, sf_dir):
-    return _read(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("track")).agg(F.count("*").alias("segments"))
+    return ranges.first_seen_chroms(_read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("chrom"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord")))
 
 
 # Batches
@@ -396,12 +386,6 @@ def cat_round_robin(spark, sf_dir):
     return ranges.ordinal(both.withColumn("key", F.col("batch_id") * 2 + F.col("loader")), "key", "turn").drop("key")
 
 
-@_query("SELECT doc_id AS seg_idx, label, lang FROM documents JOIN embeddings ON doc_id = vec_id")
-def map_zip(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seg_idx"), "lang")
-    return docs.join(_read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seg_idx"), "label"), "seg_idx")
-
-
 # Sequences
 
 _CLEAN = "regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGTN]', 'N', 'g')"
@@ -458,7 +442,7 @@ def gene_dedup_last(spark, sf_dir):
 
 @_query("SELECT c_custkey AS gene_id, nullif(c_mktsegment, 'BUILDING') = 'MACHINERY' AS is_coding FROM customer")
 def coding_flag(spark, sf_dir):
-    return _genes(spark, sf_dir).select("gene_id", (F.col("gene_type") == "MACHINERY").alias("is_coding"))
+    return _genes(spark, sf_dir).select("gene_id", annotation.is_coding(F.col("gene_type"), "MACHINERY").alias("is_coding"))
 
 
 # Alignments

@@ -7,11 +7,16 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from helixframe.sources.files import open_stream
+
 MAGIC, TREE_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
+#: Compressed bytes of a split.
+SPLIT = 1 << 23
 SCHEMA = "chrom string, start bigint, end bigint, value float"
 _ARROW = pa.schema([("chrom", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.float32())])
 
@@ -22,10 +27,10 @@ def is_url(src: str) -> bool:
 
 
 class BigWig:
-    """An open file: its chromosomes, and the runs of one of them."""
+    """An open file: its chromosomes, and the runs of its data blocks."""
 
     def __init__(self, path: str):
-        self.file = open(path, "rb")
+        self.file = open_stream(path)
         head = self.file.read(64)
         magic = struct.unpack_from("<I", head)[0]
         self.order = "<" if magic == MAGIC else ">"
@@ -72,49 +77,61 @@ class BigWig:
                         nodes.append(offset)
         return iter(sorted(found))
 
-    def runs(self, chrom: str) -> Iterator[tuple[int, int, float]]:
-        number, _ = self.chroms[chrom]
-        for offset, size in self.blocks(number):
+    def runs(self, blocks: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(chromosome's number, starts, ends, values) of data blocks, read as whole arrays."""
+        o = self.order
+        for offset, size in blocks:
             self.file.seek(offset)
             raw = self.file.read(size)
             raw = zlib.decompress(raw) if self.buffer else raw
-            c, start, _, step, span, kind, _, n = struct.unpack_from(f"{self.order}IIIIIBBH", raw)
-            if c != number:
-                continue
-            for i in range(n):
-                if kind == 1:
-                    yield struct.unpack_from(f"{self.order}IIf", raw, 24 + i * 12)
-                elif kind == 2:
-                    at, value = struct.unpack_from(f"{self.order}If", raw, 24 + i * 8)
-                    yield at, at + span, value
-                else:
-                    (value,) = struct.unpack_from(f"{self.order}f", raw, 24 + i * 4)
-                    yield start + i * step, start + i * step + span, value
+            number, start, _, step, span, kind, _, n = struct.unpack_from(f"{o}IIIIIBBH", raw)
+            if kind == 1:
+                rows = np.frombuffer(raw, np.dtype([("s", f"{o}u4"), ("e", f"{o}u4"), ("v", f"{o}f4")]), n, 24)
+                starts, ends, values = rows["s"], rows["e"], rows["v"]
+            elif kind == 2:
+                rows = np.frombuffer(raw, np.dtype([("s", f"{o}u4"), ("v", f"{o}f4")]), n, 24)
+                starts, ends, values = rows["s"], rows["s"].astype(np.int64) + span, rows["v"]
+            else:
+                starts, values = start + np.arange(n, dtype=np.int64) * step, np.frombuffer(raw, f"{o}f4", n, 24)
+                ends = starts + span
+            yield number, starts.astype(np.int64), ends.astype(np.int64), values.astype(np.float32)
 
 
 class BigWigReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    """Splits of ``split`` compressed bytes of neighbouring data blocks, longest chromosome first."""
+
+    def __init__(self, path: str, split: int):
+        self.path, self.split = path, split
 
     def partitions(self) -> list[InputPartition]:
-        by_size = sorted(BigWig(self.path).chroms.items(), key=lambda c: -c[1][1])
-        return [InputPartition(name) for name, _ in by_size] or [InputPartition("")]
+        file = BigWig(self.path)
+        out: list[InputPartition] = []
+        for name, (number, _) in sorted(file.chroms.items(), key=lambda c: -c[1][1]):
+            held, size = [], 0
+            for block in file.blocks(number):
+                held.append(block)
+                size += block[1]
+                if size >= self.split:
+                    out.append(InputPartition((name, number, held)))
+                    held, size = [], 0
+            if held:
+                out.append(InputPartition((name, number, held)))
+        return out or [InputPartition(("", 0, []))]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if not partition.value:
+        name, number, blocks = partition.value
+        if not blocks:
             return
-        rows: list[tuple] = []
-        for start, end, value in BigWig(self.path).runs(partition.value):
-            rows.append((partition.value, start, end, value))
-            if len(rows) == 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        for at in range(0, len(blocks), 64):
+            parts = [p[1:] for p in BigWig(self.path).runs(blocks[at : at + 64]) if p[0] == number]
+            if parts:
+                starts, ends, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+                chrom = pa.array([name], pa.string()).take(pa.array(np.zeros(len(starts), np.int32)))
+                yield pa.RecordBatch.from_arrays([chrom, pa.array(starts), pa.array(ends), pa.array(values)], schema=_ARROW)
 
 
 class BigWigSource(DataSource):
-    """``spark.read.format("helix_bigwig").load(path)``: one partition a chromosome, longest first."""
+    """``spark.read.format("helix_bigwig").option("split", bytes).load(path)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -124,7 +141,7 @@ class BigWigSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> BigWigReader:
-        return BigWigReader(self.options["path"])
+        return BigWigReader(self.options["path"], int(self.options.get("split", SPLIT)))
 
 
 def fetch(url: str, target: str) -> str:

@@ -45,3 +45,8 @@ def test_nucleotides(spark):
     assert rows.select(nucleotide.code_array(nucleotide.encode("s"))).first()[0] == [0, 1, 2, 3, 4]
     with pytest.raises(Exception, match="not a nucleotide"):
         spark.createDataFrame([("ACR",)], "s string").select(nucleotide.encode("s")).collect()
+
+
+def test_nan_is_zero_whatever_the_clamp(spark):
+    rows = spark.createDataFrame([(float("nan"),), (1.0,)], "x float")
+    assert [r[0] for r in rows.select(scale_clamp(F.col("x"), 2.0, -4.0)).collect()] == [0.0, -4.0]

@@ -1,9 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import arrays
 from helixframe.operators import annotation, batching, coverage, ranges, signal
 
 
@@ -138,3 +140,49 @@ def test_genes_last_wins(spark):
     assert (h["strand"], h["tss"], h["is_coding"], h["exons"]) == (None, None, True, None)
     with pytest.raises(Exception, match="missing"):
         annotation.read_transcripts(gff.withColumn("type", F.lit("transcript"))).collect()
+
+
+def test_islands_over_slices(spark):
+    """Slices of a few bases give the islands of a walk in order."""
+    rng = random.Random(4)
+    rows = [(c, s, s + rng.randrange(1, 30)) for c in "ab" for s in sorted(rng.randrange(900) for _ in range(60))]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long")
+    got = {(r["chrom"], r["start"], r["end"]): r["island"] for r in ranges.gap_islands(df, 2, 3, slice_width=16).collect()}
+    for c in "ab":
+        island, far = 0, None
+        for s, e in sorted({(s, e) for x, s, e in rows if x == c}):
+            island += far is None or far + 3 <= s - 2
+            far = max(far or 0, e)
+            assert got[c, s, e] >= island  # equal ranges count their islands once
+        assert max(v for k, v in got.items() if k[0] == c) == island
+
+
+def test_epochs_and_seeds_are_unrelated(spark):
+    """No order is a rotation of another, and shifts of two epochs do not go together."""
+    rows = spark.range(3000).withColumnRenamed("id", "k")
+    order = lambda seed, epoch: [r["k"] for r in batching.shuffled(rows, "k", seed, epoch).orderBy("ord").collect()]
+    base = order(7, 0)
+    assert base == order(7, 0) and sorted(base) == list(range(3000))
+    for seed, epoch in ((7, 1), (7, 2), (99, 0)):
+        other = order(seed, epoch)
+        at = other.index(base[0])
+        assert sum(x == y for x, y in zip(base, other[at:] + other[:at], strict=True)) < 30
+    far = spark.range(5).selectExpr("id * 1000003 + 1 AS k")
+    assert len({r[0] for r in far.select(batching.draw(F.col("k"), 7)).collect()}) == 5
+    shifts = np.array([[r[0] for r in rows.orderBy("k").select(batching.random_shift(F.col("k"), 64, 1, 7, e)).collect()] for e in range(3)])
+    assert abs(np.corrcoef(shifts)[np.triu_indices(3, 1)]).max() < 0.08 and shifts.min() == -64 and shifts.max() == 64
+    assert len(set((shifts[0] - shifts[1]).tolist())) > 100
+
+
+@pytest.mark.parametrize("bins", [8_192, 65_536])
+def test_window_reads_grow_with_the_window(spark, bins):
+    """Re-binning, splitting and filling of long windows: seconds, where a quadratic plan would take many minutes."""
+    rows = spark.range(4).select("id", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (i % 7).cast("float")).alias("v"))
+    window = arrays.split(arrays.read_window("v", bins, 0, 1, 4), 16)
+    began = time.time()
+    got = rows.select(F.posexplode(window).alias("at", "p")).agg(F.sum(F.aggregate("p", F.lit(0.0), lambda a, x: a + x.cast("double")))).first()[0]
+    assert abs(got - 4 * sum(i % 7 for i in range(bins)) / 4) < 0.01 * got and time.time() - began < 20
+    segments = rows.select(F.col("id").alias("seg_idx"))
+    binned = segments.select("seg_idx", F.lit(0).alias("track_idx"), F.explode(F.sequence(F.lit(3), F.lit(bins - 3), F.lit(2))).alias("bin")).withColumn("mean", F.col("bin").cast("float"))
+    made = signal.dense(binned, segments, spark.createDataFrame([(0,)], "track_idx int"), bins).first()["values"]
+    assert len(made) == bins and all(v == (i if i % 2 and 3 <= i <= bins - 3 else 0) for i, v in enumerate(made))

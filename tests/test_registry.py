@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from helixframe import registry
+from helixframe import registry, registry_files
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,12 +28,16 @@ def plain(v):
     return v
 
 
+QUERIES = registry.QUERIES | registry_files.QUERIES
+SQL = registry.ORACLE_SQL | registry_files.ORACLE_SQL
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    got = registry.QUERIES[name](spark, DIR)
+    got = QUERIES[name](spark, DIR)
     names = sorted(got.columns)
-    want = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in names)} FROM ({registry.ORACLE_SQL[name]})").fetchall()
+    want = duck.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in names)} FROM ({SQL[name]})").fetchall()
     rows = [tuple(r) for r in got.select(*[f"`{c}`" for c in names]).collect()]
     key = lambda r: tuple(map(repr, r))
     assert sorted((tuple(map(plain, r)) for r in rows), key=key) == sorted((tuple(map(plain, r)) for r in want), key=key)
