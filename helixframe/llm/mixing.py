@@ -5,146 +5,228 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.llm.workspace import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Random numbers are whole numbers below 2^52, taken from an MD5 of the id.
+#: Random numbers are whole numbers below 2^52, taken from an MD5 of id and text.
 _BITS = 52
+_KEY = ["tag", "size", "u"]
 
 
 @dataclass(frozen=True)
 class MixOptions:
     """``weights`` repeat over the sources in code point order, null last; ``most`` is the largest multiple of a source.
 
-    ``slots`` is the number of slices of the random order that are summed before
-    any of them is opened; ``passes`` the number of passes in which the words that
-    are still missing are filled with documents that fit.
+    ``slots`` (a power of two) is the number of slices of the random order that are summed before
+    any of them is opened; a slice of over ``open_rows`` rows is sliced again.
     """
 
     weights: Sequence[int] = (5, 2, 1)
     most: int = 3
     seed: str = "mix"
     slots: int = 4096
-    passes: int = 3
+    open_rows: int = 20_000
 
 
-def targets(sizes: DataFrame, o: MixOptions) -> DataFrame:
-    """(source, source_size, target): weights share all words, but no source gets over ``most`` times its own.
+def _numbered(df: DataFrame, order: str, ws: Workspace) -> DataFrame:
+    """Adds ``number`` from 0 in the order of a column, by ranges of it: only the ranges are summed in one task."""
+    placed = ws.table(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_base"))
+    return placed.join(base, "_part").withColumn("number", F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_n", "_base")
 
-    Sources are few (one row each here).  In order of capacity by weight, the
-    sources before the first that its share of what is left does not exceed are full.
+
+def targets(sizes: DataFrame, ws: Workspace, o: MixOptions) -> DataFrame:
+    """(tag, source_size, target) of (tag, source_size), the order of tags being that of sources.
+
+    Weights share all words.  A source whose share exceeds ``most`` times its words stops there, and what it
+    leaves is shared again, until none is above.  A round needs two sums.
+    """
+    weight = F.element_at(F.array(*[F.lit(w) for w in o.weights]), (F.col("number") % len(o.weights) + 1).cast("int")).cast("long")
+    one = ws.table(_numbered(sizes, "tag", ws).select("tag", "source_size", weight.alias("weight"), (F.col("source_size") * o.most).alias("cap")))
+    total, weights = (x or 0 for x in one.agg(F.sum("source_size"), F.sum("weight")).first())
+    share = total / weights if weights else 0.0
+    while True:
+        over = F.col("cap").cast("double") < F.lit(share) * F.col("weight").cast("double")
+        capped, open_ = one.agg(F.sum(F.when(over, F.col("cap")).otherwise(0)), F.sum(F.when(over, 0).otherwise(F.col("weight")))).first()
+        again = (total - capped) / open_ if open_ else share
+        if again == share:
+            break
+        share = again
+    return one.select("tag", "source_size", F.least(F.col("cap").cast("double"), F.lit(share) * F.col("weight").cast("double")).alias("target"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, o: MixOptions) -> DataFrame:
+    """``d`` (the whole row), ``tag`` of its source, ``size`` in words, and its random number ``u``."""
+    text, source = docs[text_col].cast("string"), docs[source_col].cast("string")
+    digest = F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))), F.lit(f":{o.seed}")))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("d"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("t")).alias("tag"), size.alias("size"), F.conv(F.substring(digest, 1, _BITS // 4), 16, 10).cast("long").alias("u")
+    )
+
+
+def _odds(groups: DataFrame, shares: DataFrame) -> DataFrame:
+    """(tag, cut, scale, budget): inclusion odds of the documents of each source that misses words.
+
+    A document's chance is ``scale`` times the number of binary digits of its size, ``scale`` being such that
+    the words expected are those missing.  Documents of ``cut`` digits or more, for which that is 1
+    or above, are taken for certain, and ``budget`` is what is missing beside them.
     """
-    one = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in o.weights]), ((F.row_number().over(order) - 1) % len(o.weights) + 1).cast("int"))
-    one = one.select("source", "source_size", weight.cast("long").alias("weight"), (F.col("source_size") * o.most).alias("cap"))
-    by = W.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    one = one.withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    one = one.withColumn("share", F.col("left").cast("double") / F.sum("weight").over(by.rowsBetween(0, W.unboundedFollowing)).cast("double"))
-    one = one.withColumn("level", F.min(F.when(F.col("share") * F.col("weight") <= F.col("cap"), F.col("cap") / F.col("weight"))).over(everything))
-    # The level's own share is the final one; every source of lower capacity is full.
-    one = one.withColumn("final", F.min(F.when(F.col("cap") / F.col("weight") == F.col("level"), F.struct(F.col("cap").alias("c"), F.col("share")))).over(everything)["share"])
-    return one
+    levels = groups.where("size > 0").groupBy("tag", F.length(F.bin("size")).alias("g")).agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    rows = levels.join(shares.where("missing > 0").select("tag", "missing"), "tag").groupBy("tag", "missing").agg(F.sort_array(F.collect_list(F.struct("g", "words")), asc=False).alias("levels"))
+    every = F.aggregate("levels", F.lit(0).cast("long"), lambda a, x: a + x["g"] * x["words"])
+    start = F.struct(F.lit(0).cast("long").alias("above"), every.alias("rest"), F.lit(64).alias("cut"), F.lit(True).alias("more"))
+
+    def step(s: Column, x: Column) -> Column:
+        sure = s["more"] & (x["g"].cast("double") * ((F.col("missing") - s["above"]) / s["rest"]) >= 1)
+        return F.struct((s["above"] + F.when(sure, x["words"]).otherwise(0)).alias("above"), (s["rest"] - F.when(sure, x["g"] * x["words"]).otherwise(0)).alias("rest"), F.when(sure, x["g"]).otherwise(s["cut"]).alias("cut"), sure.alias("more"))
+
+    folded = rows.select("tag", "missing", F.aggregate("levels", start, step).alias("s"))
+    budget = F.col("missing") - F.col("s.above")
+    return folded.select("tag", "s.cut", F.when(F.col("s.rest") > 0, budget / F.nullif(F.col("s.rest"), F.lit(0))).otherwise(0.0).alias("scale"), budget.alias("budget"))
+
+
+def _place(scale: Column, size: Column, u: Column) -> Column:
+    """The place of a document in the order, in (0, 1): its rank q / (1 + q), q being random odds over inclusion odds."""
+    p = scale * F.length(F.bin(size)).cast("double")
+    r = (u + 0.5) / float(1 << _BITS)
+    q = (r / (1 - r)) / (p / (1 - p))
+    return q / (1 + q)
+
+
+def _first(rows: DataFrame, by: list[str], ws: Workspace, o: MixOptions) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal documents in the order of (place, u, size), while their words fit the budget of their ``by``.
+
+    Takes (by, size, u, n, place, budget), and gives (by, edge, left): what is taken lies at or before
+    ``edge``, and ``left`` words are still missing; and (by, size, u, n, took): the group at the edge of which a part
+    is taken.  Slices of the order are summed, and only the slice in which the budget ends is opened.
+    """
+    rows = rows.withColumn("_f", F.col("place")).withColumn("_low", F.lit(0.0))
+    ends: list[DataFrame] = []
+    width = 1.0
+    beyond = F.struct(F.lit(2.0).alias("place"), F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("size"))
+    while True:
+        width /= o.slots
+        rows = rows.withColumn("_slot", F.floor(F.col("_f") * o.slots).cast("long"))
+        sums = rows.groupBy(*by, "_slot").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.count("*").alias("rows"), F.first("budget").alias("budget"))
+        before = F.sum("words").over(W.partitionBy(*by).orderBy("_slot")) - F.col("words")
+        found = sums.withColumn("before", before).groupBy(*by).agg(F.min(F.when(F.col("before") + F.col("words") > F.col("budget"), F.struct("_slot", "before", "rows"))).alias("e"), F.sum("words").alias("words"), F.first("budget").alias("budget"))
+        found = ws.table(found)
+        ends.append(found.where("e IS NULL").select(*by, beyond.alias("edge"), (F.col("budget") - F.col("words")).alias("left")))
+        edge = found.where("e IS NOT NULL").select(*by, F.col("e._slot").alias("_slot"), F.col("e.before").alias("_before"))
+        rows = rows.join(edge, [*by, "_slot"]).withColumn("budget", F.col("budget") - F.col("_before"))
+        rows = rows.withColumn("_low", F.col("_low") + F.col("_slot") * width).withColumn("_f", F.col("_f") * o.slots - F.col("_slot")).drop("_slot", "_before")
+        rows = ws.table(rows)
+        if (found.agg(F.max("e.rows")).first()[0] or 0) <= o.open_rows or width * o.slots**-1 < 2.0**-_BITS:
+            break
+    order = W.partitionBy(*by).orderBy("place", "u", "size").rowsBetween(W.unboundedPreceding, 0)
+    before = F.sum(F.col("size") * F.col("n")).over(order) - F.col("size") * F.col("n")
+    took = F.greatest(F.lit(0), F.least(F.col("n"), F.floor((F.col("budget") - before) / F.col("size"))))
+    opened = ws.table(rows.withColumn("took", took.cast("long")))
+    low = F.struct(F.col("_low").alias("place"), F.lit(-1).cast("long").alias("u"), F.lit(-1).cast("long").alias("size"))
+    whole = F.max(F.when(F.col("took") == F.col("n"), F.struct("place", "u", "size")))
+    last = opened.groupBy(*by).agg(F.coalesce(whole, F.first(low)).alias("edge"), (F.first("budget") - F.sum(F.col("size") * F.col("took"))).alias("left"))
+    for end in ends:
+        last = last.unionByName(end)
+    names = [c for c in ("size", "u", "n", "took") if c not in by]
+    return ws.table(last), opened.where("took > 0 AND took < n").select(*by, *names)
+
+
+def _fill(left: DataFrame, ends: DataFrame) -> DataFrame:
+    """(tag, size, budget): words of the largest sizes that still fit, from the largest down, until nothing left fits."""
+    sizes = left.join(ends.select("tag", "left"), "tag").where("size <= left").groupBy("tag", "size").agg(F.sum("n").alias("n"), F.first("left").alias("left"))
+    rows = sizes.groupBy("tag", "left").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    pick = "struct<size:bigint,words:bigint>"
+
+    def step(s: Column, x: Column) -> Column:
+        words = F.least(x["n"], F.floor(s["left"] / x["size"])) * x["size"]
+        return F.struct((s["left"] - words).alias("left"), F.when(words > 0, F.concat(s["picks"], F.array(F.struct(x["size"].alias("size"), words.alias("words"))))).otherwise(s["picks"]).alias("picks"))
+
+    start = F.struct(F.col("left").alias("left"), F.array().cast(f"array<{pick}>").alias("picks"))
+    return rows.select("tag", F.explode(F.aggregate("sizes", start, step, lambda s: s["picks"])).alias("p")).select("tag", "p.size", F.col("p.words").cast("double").alias("budget"))
+
+
+def _plan(keyed: DataFrame, ws: Workspace, o: MixOptions) -> tuple[DataFrame, DataFrame]:
+    """By source what it takes and where its order ends, and the groups of equal documents for which that does not say it."""
+    groups = ws.table(keyed.groupBy(*_KEY).agg(F.count("*").alias("n")))
+    shares = targets(groups.groupBy("tag").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), ws, o)
+    copies = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long")
+    shares = ws.table(shares.withColumn("copies", copies).withColumn("missing", F.col("target") - F.col("copies") * F.col("source_size")))
+    odds = ws.table(_odds(groups, shares))
+    open_ = groups.where("size > 0").join(odds, "tag").where(F.length(F.bin("size")) < F.col("cut"))
+    open_ = ws.table(open_.select(*_KEY, "n", _place(F.col("scale"), F.col("size"), F.col("u")).alias("place"), "budget"))
+    ends, part = _first(open_, ["tag"], ws, o)
+    part = ws.table(part)
+    # What the order leaves out, less the part taken of the group at its edge.
+    rest = open_.join(ends, "tag").where(F.struct("place", "u", "size") > F.col("edge")).join(part.select(*_KEY, "took"), _KEY, "left")
+    rest = ws.table(rest.select(*_KEY, F.col("n").alias("of"), (F.col("n") - F.coalesce("took", F.lit(0))).alias("n"), "place"))
+    wanted = ws.table(_fill(rest, ends))
+    rest = ws.table(rest.join(wanted, ["tag", "size"]))
+    more, more_part = _first(rest, ["tag", "size"], ws, o)
+    inside = rest.join(more, ["tag", "size"]).where(F.struct("place", "u", "size") <= F.col("edge")).select(*_KEY, F.col("n").alias("took"))
+    odd = part.select(*_KEY, "took").unionByName(inside).unionByName(more_part.select(*_KEY, "took")).groupBy(*_KEY).agg(F.sum("took").alias("took"))
+    odd = ws.table(odd.join(groups, _KEY))
+    return ws.table(shares.join(odds.drop("budget"), "tag", "left").join(ends, "tag", "left")), odd
+
+
+def _times(docs: DataFrame, ws: Workspace, o: MixOptions, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``d`` (the row), ``source, size, source_size, target`` and ``times``, how often the mix takes it."""
+    keyed = _keyed(docs, id_col, text_col, source_col, o)
+    shares, odd = _plan(keyed.drop("d"), ws, o)
+    both = keyed.join(shares, "tag")
+    ordered = F.struct(_place(F.col("scale"), F.col("size"), F.col("u")).alias("place"), "u", "size") <= F.col("edge")
+    taken = (F.col("size") > 0) & F.coalesce((F.length(F.bin("size")) >= F.col("cut")) | ordered, F.lit(False))
+    partial = odd.where("took < n")
+    names = ["d", "source", "size", "source_size", "target", "copies"]
+    out = both.join(odd, _KEY, "left").where("took IS NULL OR took >= n")
+    out = out.select(*names, F.when(taken | F.col("took").isNotNull(), 1).otherwise(0).alias("extra"))
+    if partial.limit(1).count():
+        # Equal documents of which a part is taken are numbered, by tasks and then over tasks.
+        some = ws.table(both.join(partial, _KEY).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftrightunsigned("_at", 33))
+        base = some.groupBy(*_KEY, "_part").agg(F.count("*").alias("_n"))
+        base = base.select(*_KEY, "_part", (F.sum("_n").over(W.partitionBy(*_KEY).orderBy("_part")) - F.col("_n")).alias("_base"))
+        at = F.col("_base") + F.row_number().over(W.partitionBy(*_KEY, "_part").orderBy("_at"))
+        out = out.unionByName(some.join(base, [*_KEY, "_part"]).select(*names, (at <= F.col("took")).cast("int").alias("extra")))
+    return out.select("d", "source", "size", "source_size", "target", (F.col("copies") + F.col("extra")).alias("times"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", options: MixOptions | None = None) -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken, mix_source``.
 
     ``size`` counts the words of the text.  A source whose target is f times its
-    words takes every document floor(f) times for certain; the rest is a Pareto
-    order sample: documents rank by random odds u / (1 - u) over inclusion odds
-    p / (1 - p), p being the fraction left, and are taken in that order while they
-    fit the words still missing; further passes fill what is left with later
-    documents that fit.  ``taken`` is size times copies.
+    words takes every document floor(f) times for certain.  The words still missing are a sample of fixed
+    size in words with unequal chances: a document's chance p grows with the number of binary digits
+    of its size, and those for which it would be 1 or more are taken whole.  The others rank by random odds u / (1 - u) over
+    inclusion odds p / (1 - p) and are taken in that order while they fit.  What is missing after that, less than
+    one document, is filled from the largest sizes down that still fit, each in the same order, until none does.  ``taken`` is
+    size times copies.
 
-    The order is never sorted as a whole: sums over slices of the random order
-    find the slice where a source is full, and only that slice is sorted, so a
-    source with a third of all rows is no single task.  Random numbers come from
-    the id alone, so reruns and lost executors change nothing.
+    The order is never sorted as a whole (see ``_first``), and equal documents are one group with a
+    count, so neither a source nor a document with a third of all rows is a single task.  Random
+    numbers come from id and text alone, so reruns and lost executors change nothing.
 
     Defined cases: a null or empty text has size 0 and takes 0; a null source is a
-    source of its own, last in order; a null id has a random number like any other;
-    repeated rows are as many documents with tied numbers, which rank by size and
-    then arbitrarily among equal rows; an empty table gives an empty one.
+    source of its own, last in order; a null id has a random number by its text; of repeated rows as many
+    as their group takes count once more, no matter which; other columns are not read; an empty
+    table gives an empty one.
     """
-    o = options or MixOptions()
     ws = Workspace(docs.sparkSession, "mix")
-    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{o.seed}")))
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.conv(F.substring(digest, 1, _BITS // 4), 16, 10).cast("long").alias("u"))
-    rows = ws.table(rows)
-    shares = targets(rows, o)
-    target = F.least(F.col("cap").cast("double"), F.col("final") * F.col("weight"))
-    shares = shares.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
-    copies = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long")
-    shares = ws.table(shares.withColumn("copies", copies).withColumn("missing", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("tag", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
-    share = shares.select("tag", "missing", (F.col("missing") / F.nullif(F.col("source_size"), F.lit(0))).alias("p"))
-    tag = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    u = (F.col("u") + 0.5) / float(1 << _BITS)
-    rank = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    slot = F.floor(F.col("u") / float((1 << _BITS) // o.slots)).cast("int")
-    left = rows.where("size > 0").withColumn("tag", tag).join(share.where("missing > 0").select("tag", "p"), "tag").select("tag", "id", "size", "u", rank.alias("rank"), slot.alias("slot"))
-    missing = share.select("tag", "missing")
-    chosen: list[DataFrame] = []
-    for _ in range(o.passes):
-        left = ws.table(left.join(missing, "tag").where("size <= missing"))
-        sums = left.groupBy("tag", "slot").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
-        before = F.sum("words").over(W.partitionBy("tag").orderBy("slot")) - F.col("words")
-        edge = sums.withColumn("before", before).where("before <= missing AND before + words > missing")
-        edge = ws.table(edge.groupBy("tag").agg(F.min(F.struct("slot", "before")).alias("e")).select("tag", "e.slot", "e.before"))
-        placed = left.join(edge.select("tag", F.col("slot").alias("edge"), "before"), "tag", "left")
-        inside = placed.where("edge IS NULL OR slot < edge").drop("edge", "before")
-        at = placed.where("slot = edge")
-        run = F.sum("size").over(W.partitionBy("tag").orderBy("rank", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0))
-        at = ws.table(at.withColumn("run", run + F.col("before")))
-        taken = ws.table(inside.select("tag", "id", "size", "u").unionByName(at.where("run <= missing").select("tag", "id", "size", "u")))
-        chosen.append(taken)
-        used = taken.groupBy("tag").agg(F.sum("size").alias("used"))
-        later = placed.where("slot > edge").drop("edge", "before").unionByName(at.where("run > missing").drop("edge", "before", "run"))
-        missing = ws.table(missing.join(used, "tag", "left").select("tag", (F.col("missing") - F.coalesce("used", F.lit(0))).alias("missing")))
-        left = later.drop("missing")
-    picked = chosen[0]
-    for more in chosen[1:]:
-        picked = picked.unionByName(more)
-    picked = ws.table(picked.groupBy("tag", "id", "size", "u").agg(F.count("*").alias("times")))
-    return ws.finish(_spread(rows.withColumn("tag", tag), picked, shares, ws).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.col("source").alias("mix_source")))
-
-
-def _spread(rows: DataFrame, picked: DataFrame, shares: DataFrame, ws: Workspace) -> DataFrame:
-    """Rows with what is taken of each; of equal rows as many as were picked.
-
-    Only groups of equal rows of which a part is picked (they lie where a source
-    is full) are numbered.
-    """
-    key = ["tag", "id", "size", "u"]
-    r, p = rows.alias("r"), picked.alias("p")
-    same = (F.col("r.tag") == F.col("p.tag")) & F.col("r.id").eqNullSafe(F.col("p.id")) & (F.col("r.size") == F.col("p.size")) & (F.col("r.u") == F.col("p.u"))
-    equal = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").alias("r")
-    partial = ws.table(equal.join(p, same).where("times < n").select("r.*", "times"))
-    q = partial.alias("q")
-    in_part = (F.col("r.tag") == F.col("q.tag")) & F.col("r.id").eqNullSafe(F.col("q.id")) & (F.col("r.size") == F.col("q.size")) & (F.col("r.u") == F.col("q.u"))
-    whole = r.join(q, in_part, "left_anti").alias("r").join(p, same, "left").select("r.*", F.when(F.col("times").isNull(), 0).otherwise(1).alias("extra"))
-    numbered = r.join(q, in_part).select("r.*", "q.times").withColumn("at", F.row_number().over(W.partitionBy(*key).orderBy("size")))
-    each = whole.unionByName(numbered.select("tag", "id", "source", "size", "u", (F.col("at") <= F.col("times")).cast("int").alias("extra")), allowMissingColumns=True)
-    each = each.select("tag", "id", "source", "size", "extra")
-    return each.join(shares.select("tag", "source_size", "target", "copies"), "tag").withColumn("taken", F.col("size") * (F.col("copies") + F.col("extra")))
-
-
-def repeat_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents, each as often as ``mixed`` takes it, with their columns.
-
-    Rows of equal id, source and size share what the mix takes of them.
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[source_col].alias("source"))
+    out = _times(rows, ws, options or MixOptions(), "id", "text", "source")
+    return ws.finish(out.select(F.col("d.id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), F.col("source").alias("mix_source")))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", options: MixOptions | None = None) -> DataFrame:
+    """The documents, each as often as ``mix_sources`` takes it, with all their columns, whatever these are called.
+
+    Texts are not shuffled: each row is judged by what its source takes.  Defined cases are those of
+    ``mix_sources``; a document without words is in no mix.
     """
-    takes = mixed.groupBy(F.col(id_col).alias("mix_id"), F.col("mix_source"), F.col("size").alias("mix_size")).agg(F.sum(F.col("taken") / F.nullif("size", F.lit(0))).cast("long").alias("mix_times"), F.count("*").alias("mix_rows"))
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    both = docs.join(takes, F.col(id_col).eqNullSafe(F.col("mix_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")) & (size == F.col("mix_size"))).where("mix_times > 0")
-    alone = both.where("mix_rows = 1").withColumn("mix_at", F.lit(1))
-    several = both.where("mix_rows > 1").withColumn("mix_at", F.row_number().over(W.partitionBy("mix_id", "mix_source", "mix_size").orderBy(F.xxhash64(text_col))))
-    times = F.floor(F.col("mix_times") / F.col("mix_rows")) + (F.col("mix_at") <= F.col("mix_times") % F.col("mix_rows")).cast("int")
-    out = alone.unionByName(several).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
-    return out.select(*docs.columns)
+    out = _times(docs, Workspace(docs.sparkSession, "mix"), options or MixOptions(), id_col, text_col, source_col)
+    return out.where("size > 0 AND times > 0").select(F.explode(F.array_repeat("d", F.col("times").cast("int"))).alias("d")).select("d.*")

@@ -108,39 +108,43 @@ WITH u AS (
 SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM u"""
 
 
-def _mix_sql(passes: int = 3) -> str:
-    steps = ["p0 AS (SELECT tag, missing FROM share WHERE missing > 0)", "l0 AS (SELECT r.tag, id, size, u, slot, rank FROM ranked r JOIN p0 USING (tag) WHERE size > 0)"]
-    for i in range(passes):
-        steps += [
-            f"f{i} AS (SELECT l.*, missing, sum(size) OVER (PARTITION BY tag ORDER BY slot, rank, id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS run FROM l{i} l JOIN p{i} USING (tag) WHERE size <= missing)",
-            f"t{i} AS (SELECT tag, id, size, u FROM f{i} WHERE run <= missing)",
-            f"p{i + 1} AS (SELECT tag, missing - coalesce(used, 0) AS missing FROM p{i} LEFT JOIN (SELECT tag, sum(size)::BIGINT AS used FROM t{i} GROUP BY tag) USING (tag))",
-            f"l{i + 1} AS (SELECT tag, id, size, u, slot, rank FROM f{i} WHERE run > missing)",
-        ]
-    taken = " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(passes))
-    return f"""
-WITH d AS (
-  SELECT doc_id AS id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT AS u FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)]::BIGINT AS weight, source_size * 3 AS cap FROM s),
+def _mix_sql() -> str:
+    return """
+WITH RECURSIVE d AS (
+  SELECT doc_id AS id, source, coalesce('s' || source, 't') AS tag, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':mix'), 1, 13))::BIGINT AS u FROM documents),
+grp AS (SELECT tag, size, u, count(*) AS n FROM d GROUP BY ALL),
+s AS (SELECT tag, sum(size * n)::BIGINT AS source_size FROM grp GROUP BY tag),
+w AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY tag) - 1) % 3 + 1)]::BIGINT AS weight, source_size * 3 AS cap FROM s),
 c AS (SELECT *, cap / weight AS level,
-        (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
-        / (sum(weight) OVER (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS part FROM w),
+        (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, tag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / (sum(weight) OVER (ORDER BY cap / weight, tag ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS part FROM w),
 g AS (SELECT *, min(CASE WHEN part * weight <= cap THEN level END) OVER () AS lim FROM c),
 h AS (SELECT *, first_value(part) OVER (ORDER BY level <> lim, cap) AS fin FROM g),
-t AS (SELECT coalesce('s' || source, 'n') AS tag, source, source_size, coalesce(least(cap::DOUBLE, fin * weight), 0.0) AS target FROM h),
-share0 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM t),
-share AS (SELECT *, target - copies * source_size AS missing FROM share0),
-ranked AS (
-  SELECT coalesce('s' || d.source, 'n') AS tag, id, size, u, floor(u / 1099511627776.0)::INT AS slot,
-         (((u + 0.5) / 4503599627370496.0) / (1 - (u + 0.5) / 4503599627370496.0)) / ((missing / source_size) / (1 - missing / source_size)) AS rank
-  FROM d JOIN share ON share.tag = coalesce('s' || d.source, 'n') WHERE size > 0 AND missing > 0),
-{", ".join(steps)},
-x AS (SELECT DISTINCT * FROM ({taken}))
-SELECT d.id AS doc_id, d.size, source_size, target, (d.size * (copies + CASE WHEN x.tag IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken, d.source AS mix_source
-FROM d JOIN share ON share.tag = coalesce('s' || d.source, 'n')
-LEFT JOIN x ON x.tag = share.tag AND x.id IS NOT DISTINCT FROM d.id AND x.size = d.size AND x.u = d.u"""
+share0 AS (SELECT tag, source_size, coalesce(least(cap::DOUBLE, fin * weight), 0.0) AS target FROM h),
+share1 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM share0),
+share AS (SELECT *, target - copies * source_size AS missing FROM share1),
+lev AS (SELECT tag, length(bin(size)) AS dg, sum(size * n)::BIGINT AS words, any_value(missing) AS missing FROM grp JOIN share USING (tag) WHERE size > 0 AND missing > 0 GROUP BY 1, 2),
+lw AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY tag ORDER BY dg DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS above,
+         sum(dg * words) OVER (PARTITION BY tag ORDER BY dg ROWS UNBOUNDED PRECEDING)::BIGINT AS rest FROM lev),
+cut AS (SELECT tag, max(dg) AS top, arg_max((missing - above) / rest, dg) AS scale, arg_max(missing - above, dg) AS budget FROM lw WHERE dg * ((missing - above) / rest) < 1 GROUP BY tag),
+pl AS (SELECT grp.*, budget, scale * length(bin(size)) AS p, (u + 0.5) / 4503599627370496.0::DOUBLE AS r FROM grp JOIN cut USING (tag) WHERE size > 0 AND length(bin(size)) <= top),
+pq AS (SELECT *, (r / (1 - r)) / (p / (1 - p)) AS q FROM pl),
+o AS (SELECT tag, size, u, n, budget, q / (1 + q) AS place FROM pq),
+o1 AS (SELECT *, sum(size * n) OVER (PARTITION BY tag ORDER BY place, u, size ROWS UNBOUNDED PRECEDING) - size * n AS before FROM o),
+o2 AS (SELECT *, greatest(0, least(n, floor((budget - before) / size)))::BIGINT AS took FROM o1),
+le AS (SELECT tag, any_value(budget) - sum(size * took)::BIGINT AS rem FROM o2 GROUP BY tag),
+hist AS (SELECT tag, size, sum(n - took)::BIGINT AS n, any_value(rem) AS rem FROM o2 JOIN le USING (tag) WHERE size <= rem AND n > took GROUP BY 1, 2),
+hr AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY size DESC) AS k FROM hist),
+fill AS (
+  SELECT tag, 1 AS k, size, least(n, floor(rem / size))::BIGINT AS picks, rem - least(n, floor(rem / size)) * size AS rem FROM hr WHERE k = 1
+  UNION ALL SELECT hr.tag, hr.k, hr.size, least(hr.n, floor(fill.rem / hr.size))::BIGINT, fill.rem - least(hr.n, floor(fill.rem / hr.size)) * hr.size FROM fill JOIN hr ON hr.tag = fill.tag AND hr.k = fill.k + 1),
+o3 AS (SELECT o2.*, coalesce(picks, 0) AS picks, sum(n - took) OVER (PARTITION BY tag, size ORDER BY place, u ROWS UNBOUNDED PRECEDING) - (n - took) AS ahead FROM o2 LEFT JOIN (SELECT tag, size, picks FROM fill) USING (tag, size)),
+x AS (SELECT tag, size, u, took + greatest(0, least(n - took, picks - ahead)) AS took FROM o3),
+each AS (SELECT *, row_number() OVER (PARTITION BY tag, size, u) AS nth FROM d)
+SELECT id AS doc_id, each.size, source_size, target,
+       (each.size * (copies + CASE WHEN each.size > 0 AND missing > 0 AND (x.took IS NULL OR nth <= x.took) THEN 1 ELSE 0 END))::BIGINT AS taken, source AS mix_source
+FROM each JOIN share USING (tag) LEFT JOIN x ON x.tag = each.tag AND x.size = each.size AND x.u = each.u"""
 
 
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": _url_sql(), "op8_mixing": _mix_sql()}
