@@ -45,7 +45,8 @@ class MinHashOptions:
     With ``bands`` of ``rows`` hashes a pair at similarity s shares no band with
     probability (1 - s^rows)^bands: 7e-6 at 0.8 by default.  ``miss`` is the
     probability at which a pair is given up by its posterior.  ``block`` bounds
-    the members that one task compares with as many others.
+    the members that one task compares with as many others, ``block_shingles`` their shingles (but for one
+    document alone).
     """
 
     shingle: int = 5
@@ -56,6 +57,7 @@ class MinHashOptions:
     batch: int = 32
     miss: float = 1e-7
     block: int = 1024
+    block_shingles: int = 1 << 20
 
 
 @lru_cache
@@ -89,7 +91,7 @@ def set_digest(values: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.astype(np.int64)) for x in parts)
 
 
-SKETCH = "id long, n_shingles long, hi long, lo long, bands array<long>, sig binary"
+SKETCH = "id long, hash long, n_shingles long, hi long, lo long, bands array<long>, sig binary"
 
 
 def _sketcher(o: MinHashOptions):
@@ -117,8 +119,8 @@ def _sketcher(o: MinHashOptions):
                     rows["bands"].append(key.view(np.int64))
                     rows["sig"].append(mins[: o.signature].astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), pa.array(rows["n"], pa.int64()), pa.array(rows["hi"], pa.int64()), pa.array(rows["lo"], pa.int64()), pa.array(rows["bands"], pa.list_(pa.int64())), pa.array(rows["sig"], pa.binary())],
-                    ["id", "n_shingles", "hi", "lo", "bands", "sig"],
+                    [batch.column(0).slice(begin, end - begin), batch.column(2).slice(begin, end - begin), pa.array(rows["n"], pa.int64()), pa.array(rows["hi"], pa.int64()), pa.array(rows["lo"], pa.int64()), pa.array(rows["bands"], pa.list_(pa.int64())), pa.array(rows["sig"], pa.binary())],
+                    ["id", "hash", "n_shingles", "hi", "lo", "bands", "sig"],
                 )
 
     return run
@@ -180,21 +182,6 @@ def _sets(o: MinHashOptions):
     return run
 
 
-def _of_digest(o: MinHashOptions):
-    """The rows whose shingle set has the digest beside it."""
-
-    def run(batches):
-        for batch in batches:
-            for begin, end in tx.slices(batch.column(1)):
-                part = batch.slice(begin, end - begin)
-                words, first = tx.word_hashes(part.column(1))
-                got = [set_digest(shingle_set(words[first[i] : first[i + 1]], o.shingle)) for i in range(end - begin)]
-                keep = [g == (hi, lo) for g, hi, lo in zip(got, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["id", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _confirmer(o: MinHashOptions):
     def run(batches):
         for batch in batches:
@@ -276,60 +263,59 @@ def _links_across(o: MinHashOptions):
 
 
 def _full_sets(ids: DataFrame, texts: DataFrame, ws: Workspace, o: MinHashOptions) -> DataFrame:
-    """(id, members): the shingle sets of the documents named."""
-    return ws.table(texts.join(ws.table(ids), "id", "left_semi").mapInArrow(_sets(o), "id long, members binary").dropDuplicates(["id"]))
+    """(id, members): the shingle sets of the classes numbered ``id``, by their representatives (doc, hash).
+
+    A row is found by its id and a hash of its text, so an id repeated with other texts does not multiply.
+    """
+    found = texts.join(ws.table(ids), ["doc", "hash"]).select("id", "text").dropDuplicates(["id"])
+    return ws.table(found.mapInArrow(_sets(o), "id long, members binary"))
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, ws: Workspace, o: MinHashOptions) -> DataFrame:
+def _confirm(pairs: DataFrame, named, texts: DataFrame, ws: Workspace, o: MinHashOptions) -> DataFrame:
     """The pairs that the full shingle sets confirm."""
-    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, ws, o)
+    sets = _full_sets(named(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), texts, ws, o)
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(_confirmer(o), "a long, b long")
 
 
-def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: MinHashOptions | None = None) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("hash"))
 
-    ``component_id`` is the smallest id that the document reaches by links, itself
-    included, and ``kept`` tells whether it is that id.  Defined cases: a text that
-    is null or has no word has an empty set and links with nothing; one with
-    fewer words than a shingle takes is one shingle of all its words; repeated rows
-    share their component; a row with a null id takes no part in linking, and its
-    component is that of its copies, else null; an id repeated with another text
-    is judged by each text, and texts whose classes have the same smallest id
-    count as one document, which links by one of them (that of smallest digest).  Of the columns only those two are read, so others
-    may have any name.  An empty table gives an empty one.
+
+def _judge(texts: DataFrame, ws: Workspace, o: MinHashOptions) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (hi, lo, doc, hash, id, component, least): the classes with their representatives.
+
+    ``component`` is the smallest class number that a class reaches by links and ``least`` the smallest doc in it.
     """
-    o = options or MinHashOptions()
-    spark = docs.sparkSession
-    ws = Workspace(spark, "minhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = ws.table(texts.mapInArrow(_sketcher(o), SKETCH))
-    classes = ws.table(sketch.where("hi IS NOT NULL AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("rep")))
-    chosen = sketch.join(classes.select("hi", "lo", F.col("rep").alias("id")), ["hi", "lo", "id"], "left_semi")
-    several = classes.groupBy("rep").agg(F.min(F.struct("hi", "lo")).alias("c"), F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("id"), "c.hi", "c.lo")
-    if several.limit(1).count():
-        # Ids that head several classes are linked by the class of smallest digest.
-        several = ws.table(several)
-        chosen = chosen.join(several.select("id"), "id", "left_anti").unionByName(chosen.join(several, ["id", "hi", "lo"], "left_semi"))
-        by_digest = texts.join(several, "id").select("id", "text", "hi", "lo").mapInArrow(_of_digest(o), "id long, text string")
-        texts = ws.table(texts.join(several.select("id"), "id", "left_anti").unionByName(by_digest))
+    spark = texts.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sketch = texts.mapInArrow(_sketcher(o), SKETCH).withColumnRenamed("id", "doc")
+    sketch = ws.table(sketch.withColumn("row", F.monotonically_increasing_id()))
+    classes = sketch.where("hi IS NOT NULL AND doc IS NOT NULL").groupBy("hi", "lo").agg(F.min(F.struct("doc", "row", "hash")).alias("r"))
+    classes = ws.table(classes.select("hi", "lo", "r.doc", "r.row", "r.hash", F.monotonically_increasing_id().alias("id")))
+    chosen = sketch.select("row", "n_shingles", "bands", "sig").join(classes.select("row", "id"), "row")
+
+    def named(ids: DataFrame) -> DataFrame:
+        return ids.join(classes.select("id", "doc", "hash"), "id")
 
     # Buckets with more than one class, and the star of each.
-    members = chosen.select("id", F.explode("bands").alias("key"))
-    buckets = ws.table(members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("least < most"))
-    members = ws.table(members.join(buckets.select("key", "least", "n"), "key"))
+    members = chosen.select("id", "n_shingles", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    count = F.ceil(F.greatest(F.col("n") / o.block, F.col("shingles") / o.block_shingles)).cast("int")
+    buckets = ws.table(buckets.where("least < most").select("key", "least", "n", F.least(count, F.col("n")).cast("int").alias("blocks")))
+    members = ws.table(members.select("id", "key").join(buckets, "key"))
     star = ws.table(members.where("id > least").groupBy("id", "least").agg(F.count("*").alias("votes")))
-    sigs = ws.table(chosen.select("id", "sig", "bands").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    sigs = ws.table(chosen.select("id", "sig", "bands").join(members.select("id").distinct(), "id", "left_semi"))
     sig_a, sig_b = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
 
     def pruned(pairs: DataFrame) -> DataFrame:
         return pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(o), "a long, b long")
 
     likely = ws.table(pruned(star.select(F.col("least").alias("a"), F.col("id").alias("b"))))
-    # First each document with the smallest id it is likely near to; then what that leaves apart.
+    # First each class with the smallest it is likely near to; then what that leaves apart.
     first = ws.table(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = ws.table(_confirm(first, texts, ws, o))
+    links = ws.table(_confirm(first, named, texts, ws, o))
     label = ws.table(components(links, ws))
 
     def lifted(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -346,26 +332,71 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return ws.table(fine.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
 
     rest = ws.table(lifted(likely.join(first, ["a", "b"], "left_anti"), ("a", "b")).where("ca != cb").select("a", "b"))
-    more = ws.table(_confirm(rest, texts, ws, o))
+    more = ws.table(_confirm(rest, named, texts, ws, o))
     label = relabel(more)
 
-    # Buckets that hold more than one component, compared across components.
+    # Buckets that hold more than one component, compared across components.  Pairs of blocks are dealt
+    # to a stated number of tasks, as their work is out of proportion to their bytes.
     known = label.select(F.col("node").alias("id"), "component")
-    members = ws.table(members.join(known, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
+    members = ws.table(members.join(known, "id", "left").select("key", "id", "n", "blocks", F.coalesce("component", "id").alias("component")))
     mixed = ws.table(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
     open_ = members.join(mixed, "key", "left_semi").where("n > 2")
-    count = F.ceil(F.col("n") / o.block).cast("int")
-    blocked = open_.select("key", "id", count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocked = open_.select("key", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = blocked.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "id", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
     about = ws.table(sigs.join(known, "id", "left").select("id", "sig", "bands", F.coalesce("component", "id").alias("component")))
-    likely = ws.table(blocked.join(about, "id").groupBy("key", "p", "q").applyInPandas(_likely_members(o), "key long, p int, q int, side int, id long, component long, sig binary, bands array<long>"))
-    sets = _full_sets(likely.select("id").distinct(), texts, ws, o)
-    links = likely.join(sets, "id").groupBy("key", "p", "q").applyInPandas(_links_across(o), "a long, b long")
+    cells = blocked.join(about, "id").repartition(partitions, "key", "p", "q")
+    likely = ws.table(cells.groupBy("key", "p", "q").applyInPandas(_likely_members(o), "key long, p int, q int, side int, id long, component long, sig binary, bands array<long>"))
+    sets = _full_sets(named(likely.select("id").distinct()), texts, ws, o)
+    links = likely.join(sets, "id").repartition(partitions, "key", "p", "q").groupBy("key", "p", "q").applyInPandas(_links_across(o), "a long, b long")
     label = relabel(ws.table(links))
 
-    known = label.select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
-    owner = ws.table(classes.join(known, "rep", "left").select("hi", "lo", F.coalesce("component_id", "rep").alias("component_id")))
-    out = sketch.select("id", "n_shingles", "hi", "lo").join(owner, ["hi", "lo"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return ws.finish(out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))))
+    owner = classes.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = ws.table(owner.groupBy("component").agg(F.min("doc").alias("least")))
+    return sketch, ws.table(owner.join(least, "component").select("hi", "lo", "doc", "hash", "id", "component", "least"))
+
+
+def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: MinHashOptions | None = None) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+
+    ``component_id`` is the smallest id that the document reaches by links, itself
+    included, and ``kept`` tells whether it is that id.  Defined cases: a text that
+    is null or has no word has an empty set and links with nothing; one with
+    fewer words than a shingle takes is one shingle of all its words; repeated rows
+    share their component; a row with a null id takes no part in linking, and its
+    component is that of its copies, else null; of an id repeated with other texts each row is
+    judged by its own text.  Of the columns only those two are read, so others
+    may have any name.  An empty table gives an empty one.
+    """
+    ws = Workspace(docs.sparkSession, "minhash")
+    sketch, classes = _judge(_texts(docs, id_col, text_col), ws, options or MinHashOptions())
+    out = sketch.select("doc", "n_shingles", "hi", "lo").join(classes.select("hi", "lo", "least"), ["hi", "lo"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc")).otherwise(F.col("least"))
+    return ws.finish(out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))))
+
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: MinHashOptions | None = None) -> DataFrame:
+    """The documents with all their columns, one of each group of near copies: that of smallest id.
+
+    Rows are told apart by id and text, so of an id repeated with unlike texts every text stays.
+    Defined cases: texts without a word all stay; of rows equal in id and text one stays, no matter which;
+    a row with a null id goes if a row with an id has the same shingles, and of several without an
+    id and with the same shingles one stays; columns of any name are kept; an empty table gives an empty one.
+    """
+    ws = Workspace(docs.sparkSession, "minhash")
+    sketch, classes = _judge(_texts(docs, id_col, text_col), ws, options or MinHashOptions())
+    winners = classes.groupBy("component").agg(F.min(F.struct("doc", "id", "hash")).alias("w")).select("w.doc", "w.hash")
+    bare = sketch.where("hi IS NOT NULL AND doc IS NULL").join(classes.select("hi", "lo"), ["hi", "lo"], "left_anti")
+    bare = bare.groupBy("hi", "lo").agg(F.min("hash").alias("hash")).select(F.lit(None).cast("long").alias("doc"), "hash")
+    # How often each winner stands among the rows; texts without a word are not counted and all stay.
+    seen = sketch.where("hi IS NOT NULL").groupBy("doc", "hash").agg(F.count("*").alias("rows"))
+    key = lambda d: [F.coalesce(d, F.lit(0)).alias("k"), d.isNull().alias("bare"), "hash"]
+    kept = winners.unionByName(bare).select(*key(F.col("doc"))).join(seen.select(*key(F.col("doc")), "rows"), ["k", "bare", "hash"])
+    kept = kept.unionByName(sketch.where("hi IS NULL").select(*key(F.col("doc")), F.lit(1).cast("long").alias("rows")).distinct())
+    kept = ws.table(kept)
+    text = docs[text_col].cast("string")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), docs[id_col].cast("long").alias("doc"), F.xxhash64(text).alias("hash"))
+    met = packed.select("d", *key(F.col("doc"))).join(kept, ["k", "bare", "hash"])
+    out = met.where("rows = 1").select("d")
+    if kept.where("rows > 1").limit(1).count():
+        out = out.unionByName(met.where("rows > 1").dropDuplicates(["k", "bare", "hash"]).select("d"))
+    return out.select("d.*")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from helixframe.llm.ann import AnnOptions, balanced_parts, nearest, neighbour_graph
 from helixframe.llm.components import components
 from helixframe.llm.embed_dedup import CrossPolytopeOptions, embedding_dedup, hadamard
-from helixframe.llm.minhash import MinHashOptions, least_matches, minhash_dedup
-from helixframe.llm.mixing import mix_sources, repeat_documents
+from helixframe.llm.minhash import MinHashOptions, drop_near_duplicates, least_matches, minhash_dedup
+from helixframe.llm.mixing import MixOptions, mix_sources, mixed_documents
 from helixframe.llm.url_filter import filter_urls
 from helixframe.llm.workspace import Workspace, shared_dir
 
@@ -109,6 +109,32 @@ def test_minhash_repeated_ids(spark):
         assert got == [(1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 4, 4, True), (5, 4, 4, False), (5, 4, 5, True), (5, 4, 5, True)]
 
 
+def test_drop_near_duplicates(spark):
+    rows = [(1, "a b c d e"), (1, "v w x y z"), (2, "a b c d e"), (3, "v w x y z"), (4, "p q r s t"), (5, "p q r s t"), (5, "k l m n o"), (5, "f g h i j")]
+    rows += [(5, "f g h i j"), (None, "A b c d e"), (None, "null id here"), (None, "NULL id here"), (None, "null  id here"), (6, None), (6, None), (None, ""), (7, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("d", F.lit(1)).withColumn("hash", F.lit("x")).withColumn("doc", F.lit(2.0))
+    for parts in (1, 4):
+        out = drop_near_duplicates(df.repartition(parts), options=MinHashOptions(shingle=2))
+        assert out.columns == df.columns
+        got = sorted(((r["doc_id"], (r["text"] or "").lower().replace("  ", " ")) for r in out.collect()), key=repr)
+        want = [(1, "a b c d e"), (1, "v w x y z"), (4, "p q r s t"), (5, "k l m n o"), (5, "f g h i j"), (None, "null id here"), (6, ""), (6, ""), (None, ""), (7, " ")]
+        assert got == sorted(want, key=repr)
+    assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_minhash_blocks_by_shingles(spark):
+    """Long documents of one bucket are compared in blocks of few shingles, with the same links."""
+    rng = random.Random(12)
+    passage = [f"p{j}" for j in range(400)]
+    rows = []
+    for i in range(24):
+        own = [f"q{i % 12}_{j}" for j in range(300)]
+        own[rng.randrange(300)] = f"r{i}"
+        rows.append((i, " ".join(passage + own)))
+    got = minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), options=MinHashOptions(block_shingles=1500)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_dedup(rows, 5)
+
+
 def test_posterior_bound():
     """Pairs at the threshold are given up in about as many cases as asked for."""
     least = least_matches(128, 0.8, 1e-3)
@@ -243,7 +269,11 @@ def test_mixing(spark):
         taken[r["mix_source"]] = taken.get(r["mix_source"], 0) + r["taken"]
     assert all(abs(taken[s] - target[s]) <= 30 for s in target)
     assert sorted(map(repr, map(tuple, mix_sources(df.repartition(5)).collect()))) == sorted(map(repr, map(tuple, got)))
-    copies = repeat_documents(df.drop("size", "target"), mix_sources(df))
+    for options in (MixOptions(slots=4, open_rows=3), MixOptions(slots=16, open_rows=1)):
+        assert sorted(map(repr, map(tuple, mix_sources(df, options=options).collect()))) == sorted(map(repr, map(tuple, got)))
+    odd = df.withColumn("d", F.lit(1)).withColumn("tag", F.lit("x")).withColumn("took", F.lit(1)).withColumn("mix_source", F.lit("y"))
+    copies = mixed_documents(odd)
+    assert copies.columns == odd.columns
     words = {}
     for r in copies.collect():
         words[r["source"]] = words.get(r["source"], 0) + len(words_of(r["text"]))
@@ -251,17 +281,34 @@ def test_mixing(spark):
     assert mix_sources(df.limit(0)).count() == 0 and mix_sources(df.where("text = ''")).collect()[0]["taken"] == 0
 
 
-def test_mixing_inclusion_is_fair(spark):
-    """Over many seeds documents of one source and size are taken equally often."""
-    from helixframe.llm.mixing import MixOptions
-
-    rows = [(i, "a" if i < 30 else "b", "w w") for i in range(60)]
+def test_mixing_inclusion_odds(spark):
+    """Documents are taken beyond their certain copies with chances in proportion to the digits of their sizes."""
+    sizes = [1, 3, 7, 15, 31]
+    rows = [(i, "a" if i < 500 else "b", f"w{i} " * sizes[i % 5]) for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    counts = np.zeros(60)
-    for seed in range(12):
-        for r in mix_sources(df, options=MixOptions(seed=str(seed), passes=1)).collect():
-            counts[r["doc_id"]] += r["taken"] / 2
-    assert abs(counts[:30].mean() / 12 - 60 * 5 / 7 / 30) < 0.05 and counts[:30].std() < 2
+    counts, wanted = np.zeros(1000), None
+    for seed in range(10):
+        got = mix_sources(df, options=MixOptions(seed=str(seed))).collect()
+        for r in got:
+            counts[r["doc_id"]] += r["taken"] / r["size"]
+        words = sum(r["taken"] for r in got if r["mix_source"] == "b")
+        wanted = next(r["target"] for r in got if r["mix_source"] == "b")
+        assert abs(words - wanted) < 2
+    mean = np.array([[counts[[i for i in range(500 * s, 500 * s + 500) if i % 5 == k]].mean() / 10 for k in range(5)] for s in (0, 1)])
+    for s, target in enumerate((11_400 * 5 / 7, 11_400 * 2 / 7)):
+        copies = target // 5700
+        scale = (target - copies * 5700) / sum((k + 1) * sizes[k] * 100 for k in range(5))
+        assert np.allclose(mean[s], [copies + scale * (k + 1) for k in range(5)], atol=0.06)
+    del wanted
+
+
+def test_mixing_takes_long_documents_for_certain(spark):
+    """Where a chance would be above 1 the document is taken whole, and the rest is shared among the others."""
+    rows = [(i, "a", f"x{i} " * 1000) for i in range(50)] + [(100 + i, "a", f"y{i}") for i in range(5000)] + [(10_000 + i, "b", f"z{i} " * 110) for i in range(165)]
+    got = {r["doc_id"]: r for r in mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    taken = sum(r["taken"] for r in got.values() if r["mix_source"] == "a")
+    assert abs(taken - got[0]["target"]) < 1 and all(got[i]["taken"] == 1000 for i in range(50))
+    assert abs(sum(got[100 + i]["taken"] for i in range(5000)) - (got[0]["target"] - 50_000)) < 1
 
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -322,7 +369,8 @@ def test_pipeline_stages(spark):
     want = brute_dedup([(r["doc_id"], r["text"]) for r in kept.collect()], 5)
     assert {r["doc_id"] for r in one.collect()} == {i for i, (_, c) in want.items() if i == c} and one.columns == names
     mixed = ws.table(stage["mixing sources to target weights"](spark, one, DIR))
-    assert mixed.columns == names and mixed.select("doc_id").distinct().exceptAll(one.select("doc_id")).count() == 0
+    assert mixed.columns == names and mixed.count() == sum(r["taken"] // r["size"] for r in mix_sources(one).collect() if r["size"])
+    assert mixed.select("doc_id").distinct().exceptAll(one.select("doc_id")).count() == 0
     last = stage["BPE encoding and decoding"](spark, mixed, DIR)
     assert last.count() == mixed.count() and set(before) >= {r["doc_id"] for r in last.collect()}
 
