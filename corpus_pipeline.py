@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import langid, toxicity
 from helixframe.llm.bpe import bpe_encode_decode
-from helixframe.llm.minhash import MinHashOptions, minhash_dedup
-from helixframe.llm.mixing import mix_sources, repeat_documents
+from helixframe.llm.minhash import MinHashOptions, drop_near_duplicates
+from helixframe.llm.mixing import mixed_documents
 from helixframe.llm.workspace import Workspace
 
 
@@ -29,18 +29,13 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies (five words, 0.8); rows without an id stay."""
-    verdicts = minhash_dedup(docs, options=MinHashOptions())
-    keep = verdicts.where("kept OR doc_id IS NULL").select("doc_id")
-    out = docs.join(keep.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
-    if keep.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one document, that of smallest id, of each group of near copies (five words, 0.8)."""
+    return drop_near_duplicates(docs, options=MinHashOptions())
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return repeat_documents(docs, mix_sources(docs))
+    return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each is written and read again by the next, which then removes it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     ws = Workspace(spark, "pipeline")
     for _, stage in STAGES:
-        docs = ws.table(stage(spark, docs, sf_dir))
+        docs, path = ws.write(stage(spark, docs, sf_dir))
+        if before is not None:
+            ws.remove(before)
+        before = path
     return docs
