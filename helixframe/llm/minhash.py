@@ -262,18 +262,9 @@ def _links_across(o: MinHashOptions):
     return run
 
 
-def _full_sets(ids: DataFrame, texts: DataFrame, ws: Workspace, o: MinHashOptions) -> DataFrame:
-    """(id, members): the shingle sets of the classes numbered ``id``, by their representatives (doc, hash).
-
-    A row is found by its id and a hash of its text, so an id repeated with other texts does not multiply.
-    """
-    found = texts.join(ws.table(ids), ["doc", "hash"]).select("id", "text").dropDuplicates(["id"])
-    return ws.table(found.mapInArrow(_sets(o), "id long, members binary"))
-
-
-def _confirm(pairs: DataFrame, named, texts: DataFrame, ws: Workspace, o: MinHashOptions) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, ws: Workspace, o: MinHashOptions) -> DataFrame:
     """The pairs that the full shingle sets confirm."""
-    sets = _full_sets(named(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), texts, ws, o)
+    sets = ws.table(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(_confirmer(o), "a long, b long")
 
@@ -296,9 +287,6 @@ def _judge(texts: DataFrame, ws: Workspace, o: MinHashOptions) -> tuple[DataFram
     classes = ws.table(classes.select("hi", "lo", "r.doc", "r.row", "r.hash", F.monotonically_increasing_id().alias("id")))
     chosen = sketch.select("row", "n_shingles", "bands", "sig").join(classes.select("row", "id"), "row")
 
-    def named(ids: DataFrame) -> DataFrame:
-        return ids.join(classes.select("id", "doc", "hash"), "id")
-
     # Buckets with more than one class, and the star of each.
     members = chosen.select("id", "n_shingles", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
@@ -307,6 +295,12 @@ def _judge(texts: DataFrame, ws: Workspace, o: MinHashOptions) -> tuple[DataFram
     members = ws.table(members.select("id", "key").join(buckets, "key"))
     star = ws.table(members.where("id > least").groupBy("id", "least").agg(F.count("*").alias("votes")))
     sigs = ws.table(chosen.select("id", "sig", "bands").join(members.select("id").distinct(), "id", "left_semi"))
+    # The shingle sets of all members, made once.  A row is found by its id and a hash of its text, so an id repeated with
+    # other texts does not multiply.  Members are as many as documents allow: no size of them is broadcast.
+    found = texts.join(classes.select("id", "doc", "hash").join(sigs.select("id"), "id").hint("merge"), ["doc", "hash"]).select("id", "text")
+    if sketch.where("doc IS NOT NULL").groupBy("doc", "hash").count().where("count > 1").limit(1).count():
+        found = found.dropDuplicates(["id"])
+    sets = ws.table(found.mapInArrow(_sets(o), "id long, members binary"))
     sig_a, sig_b = (sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in ("a", "b"))
 
     def pruned(pairs: DataFrame) -> DataFrame:
@@ -315,7 +309,7 @@ def _judge(texts: DataFrame, ws: Workspace, o: MinHashOptions) -> tuple[DataFram
     likely = ws.table(pruned(star.select(F.col("least").alias("a"), F.col("id").alias("b"))))
     # First each class with the smallest it is likely near to; then what that leaves apart.
     first = ws.table(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = ws.table(_confirm(first, named, texts, ws, o))
+    links = ws.table(_confirm(first, sets, ws, o))
     label = ws.table(components(links, ws))
 
     def lifted(pairs: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -332,7 +326,7 @@ def _judge(texts: DataFrame, ws: Workspace, o: MinHashOptions) -> tuple[DataFram
         return ws.table(fine.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
 
     rest = ws.table(lifted(likely.join(first, ["a", "b"], "left_anti"), ("a", "b")).where("ca != cb").select("a", "b"))
-    more = ws.table(_confirm(rest, named, texts, ws, o))
+    more = ws.table(_confirm(rest, sets, ws, o))
     label = relabel(more)
 
     # Buckets that hold more than one component, compared across components.  Pairs of blocks are dealt
@@ -346,7 +340,6 @@ def _judge(texts: DataFrame, ws: Workspace, o: MinHashOptions) -> tuple[DataFram
     about = ws.table(sigs.join(known, "id", "left").select("id", "sig", "bands", F.coalesce("component", "id").alias("component")))
     cells = blocked.join(about, "id").repartition(partitions, "key", "p", "q")
     likely = ws.table(cells.groupBy("key", "p", "q").applyInPandas(_likely_members(o), "key long, p int, q int, side int, id long, component long, sig binary, bands array<long>"))
-    sets = _full_sets(named(likely.select("id").distinct()), texts, ws, o)
     links = likely.join(sets, "id").repartition(partitions, "key", "p", "q").groupBy("key", "p", "q").applyInPandas(_links_across(o), "a long, b long")
     label = relabel(ws.table(links))
 
