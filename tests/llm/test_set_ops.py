@@ -196,9 +196,9 @@ def test_embedding_dedup_equals_brute_force(spark):
 
 def test_embedding_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (None, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [-1.0, 0.0]), (11, [1e-300, 0.0])]
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (None, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [-1.0, 0.0]), (11, [1e-300, 0.0]), (12, [0.0, 1.0]), (12, [0.0, -1.0]), (13, [0.0, -2.0])]
     got = sorted(map(repr, map(tuple, embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())))
-    want = [(1, 3, 1, True), (1, 3, 1, True), (8, 3, 1, False), (11, 3, 1, False), (None, 0, None, False)] + [(i, 0, i, True) for i in (2, 3, 4, 5, 6, 7, 9, 10)]
+    want = [(1, 3, 1, True), (1, 3, 1, True), (8, 3, 1, False), (11, 3, 1, False), (None, 0, None, False)] + [(i, 0, i, True) for i in (2, 3, 4, 5, 6, 7, 9, 10, 12)] + [(12, 1, 12, True), (13, 1, 12, False)]
     assert got == sorted(map(repr, want))
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
