@@ -18,26 +18,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.llm.embed_dedup import _floats, valid_vector
+from helixframe.llm.embed_dedup import _floats, numbers, valid_vector
 from helixframe.llm.workspace import Workspace
 
 
 @dataclass(frozen=True)
 class AnnOptions:
-    """``sample_rows`` bounds the rows that the partition is learned from; all rows are indexed.
+    """``sample_rows`` bounds the rows of one vector length that the partition is learned from; all rows are indexed.
 
-    ``recall`` is what the trial on the sample has to reach.  ``block`` is the number
-    of rows of a part that one task ranks against ``queries`` queries.
+    The number of parts grows with the rows, one for each ``part_rows``, between ``parts`` and what the sample
+    can tell apart (one for each 50 of its rows).  ``recall`` is what the trial on the sample has to
+    reach.  ``block`` is the number of rows of a part that one task ranks against ``queries`` queries.
+    Lengths beyond the ``learned`` most common have one part, which every query of theirs visits.
     """
 
     k: int = 10
-    sample_rows: int = 6000
+    sample_rows: int = 12_000
     parts: int = 16
+    part_rows: int = 4096
+    learned: int = 16
     graph_neighbours: int = 10
     recall: float = 0.97
     steps: int = 200
-    block: int = 1024
-    queries: int = 512
+    block: int = 8192
+    queries: int = 4096
     seed: int = 9
 
 
@@ -113,10 +117,10 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.
     return part
 
 
-def learn(x: np.ndarray, o: AnnOptions) -> Router:
-    """Fit the router on the sample ``x`` and set its visits by a trial on rows left out."""
+def learn(x: np.ndarray, o: AnnOptions, rows: int = 0) -> Router:
+    """Fit the router of ``rows`` rows on the sample ``x`` and set its visits by a trial on rows left out."""
     rng = np.random.default_rng(o.seed)
-    parts = max(1, min(o.parts, len(x) // 50))
+    parts = max(1, min(max(o.parts, -(-rows // o.part_rows)), len(x) // 50))
     centre = x.mean(0) if len(x) else np.zeros(x.shape[1])
     scale = float(max(np.sqrt(((x - centre) ** 2).mean()), 1e-12)) if len(x) else 1.0
     if parts == 1:
@@ -153,16 +157,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values[offsets[0] : offsets[-1]].reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _dealer(router: Router, queries: bool):
+def _dealer(routers: dict[int, Router], queries: bool):
+    """(n, dim, part) of each row: its part, or as a query all parts that it visits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 rows = batch.slice(at, 4096)
-                odds = router.odds(_matrix(rows.column(1)))
-                visits = router.visits if queries else 1
-                best = np.argsort(-odds, axis=1, kind="stable")[:, :visits].astype(np.int32)
-                index = pa.array(np.repeat(np.arange(rows.num_rows), visits))
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(index), rows.column(1).take(index), pa.array(best.ravel())], ["id", "v", "part"])
+                dims = np.diff(_floats(rows.column(1))[1])
+                for dim in np.unique(dims):
+                    own = pa.array(np.flatnonzero(dims == dim))
+                    router, numbers = routers.get(int(dim)), rows.column(0).take(own)
+                    if router is None:
+                        best = np.zeros((len(own), 1), np.int32)
+                    else:
+                        odds = router.odds(_matrix(rows.column(1).take(own)))
+                        best = np.argsort(-odds, axis=1, kind="stable")[:, : router.visits if queries else 1].astype(np.int32)
+                    index = pa.array(np.repeat(np.arange(len(own)), best.shape[1]))
+                    yield pa.RecordBatch.from_arrays([numbers.take(index), pa.array(np.full(len(index), dim, np.int32)), pa.array(best.ravel())], ["n", "dim", "part"])
 
     return run
 
@@ -173,24 +185,27 @@ def _ranker(k: int):
     def run(left, right):
         import pandas as pd
 
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(left) or not len(right):
             return empty
-        right = right.sort_values("id", kind="stable")
-        q, x = np.stack(left["v"].to_list()).astype(np.float64), np.stack(right["v"].to_list()).astype(np.float64)
-        ids = right["id"].to_numpy()
-        rough = (x**2).sum(1)[None, :] - 2 * q @ x.T
+        right = right.sort_values(["id", "n"], kind="stable")
+        x = np.stack(right["v"].to_list()).astype(np.float64)
+        ids, numbers, norm = right["id"].to_numpy(), right["n"].to_numpy(), (x**2).sum(1)
+        own, own_id = left["n"].to_numpy(), left["id"].to_numpy()
         out = []
-        for i, own in enumerate(left["id"]):
-            other = np.flatnonzero(ids != own)
-            if len(other) > 4 * k:  # rough distances leave a margin for rounding; exact ones decide
-                rough_i = rough[i, other]
-                bound = np.partition(rough_i, k - 1)[k - 1]
-                other = other[rough_i <= bound + 1e-9 * (1 + abs(bound) + (q[i] ** 2).sum())]
-            exact = np.sqrt(((x[other] - q[i]) ** 2).sum(1))
-            best = np.lexsort((ids[other], exact))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[other][best], "score": exact[best]}))
-        return pd.concat(out) if out else empty
+        for at in range(0, len(left), 256):
+            q = np.stack(left["v"].iloc[at : at + 256].to_list()).astype(np.float64)
+            rough = norm[None, :] - 2 * q @ x.T
+            for i in range(len(q)):
+                other = np.flatnonzero(numbers != own[at + i])
+                if len(other) > 4 * k:  # rough distances leave a margin for rounding; exact ones decide
+                    near = rough[i, other]
+                    bound = np.partition(near, k - 1)[k - 1]
+                    other = other[near <= bound + 1e-9 * (1 + abs(bound) + (q[i] ** 2).sum() + norm.max())]
+                exact = np.sqrt(((x[other] - q[i]) ** 2).sum(1))
+                best = np.lexsort((numbers[other], ids[other], exact))[:k]
+                out.append((np.full(len(best), own[at + i]), np.full(len(best), own_id[at + i]), ids[other][best], numbers[other][best], exact[best]))
+        return pd.DataFrame(dict(zip(empty.columns, (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -198,39 +213,49 @@ def _ranker(k: int):
 def nearest(rows: DataFrame, is_query: F.Column, id_col: str = "vec_id", vector_col: str = "embedding", options: AnnOptions | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest other rows found for each query row, by Euclidean distance.
 
-    ``is_query`` is a condition on the id column.  Defined cases: vectors null,
+    ``is_query`` is a condition on the id column.  Parts hold row numbers; a vector travels once to its part, and a
+    query's to the parts it visits.  Defined cases: vectors null,
     empty, zero or with null or non-finite components, and null ids, are neither query nor
-    candidate; vectors of another length than the most common take no part; ties go to
-    the smaller id; a repeated query row is one query, and a repeated candidate row one
-    candidate (of rows with one id and different vectors the smallest vector stands);
+    candidate; vectors of different lengths are never compared, and each length has a partition of its
+    own; ties go to the smaller id; rows equal in id and vector are one row; of rows with one id and different vectors
+    each is a candidate, also to the others, and each is a query with ranks of its own;
     fewer candidates than k give fewer rows; an empty table gives an empty one.
     """
     o = options or AnnOptions()
     spark = rows.sparkSession
     ws = Workspace(spark, "ann")
-    valid = rows.where(is_query.isNotNull() | F.lit(True)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    valid = valid.where(valid_vector("v") & F.col("id").isNotNull())
-    valid = ws.table(valid.groupBy("id", "asks").agg(F.min("v").alias("v")))
-    sizes = valid.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if sizes is None:
+    valid = rows.select(rows[id_col].cast("long").alias("id"), numbers(rows, vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    valid = valid.where(valid_vector("v") & F.col("id").isNotNull()).groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    valid = ws.table(valid.select(F.monotonically_increasing_id().alias("n"), "id", "v", "asks"))
+    sizes = valid.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "dim").limit(o.learned).collect()
+    if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    valid = valid.where(F.size("v") == sizes["dim"])
-    share = min(1.0, o.sample_rows / sizes["n"])
-    drawn = valid.where(F.pmod(F.xxhash64("id", F.lit(o.seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "v").toArrow().sort_by("id")
-    router = learn(_matrix(drawn.column("v").combine_chunks()), o)
-    index, index_path = ws.write(valid.select("id", "v").mapInArrow(_dealer(router, False), "id long, v array<double>, part int"))
-    asked = ws.table(valid.where("asks").select("id", "v").mapInArrow(_dealer(router, True), "id long, v array<double>, part int"))
+    routers = {}
+    for size in sizes:
+        share = min(1.0, o.sample_rows / size["rows"])
+        drawn = valid.where((F.size("v") == size["dim"]) & (F.pmod(F.xxhash64("id", "v", F.lit(o.seed)), F.lit(1 << 30)) < int(share * (1 << 30))))
+        got = drawn.select("id", "n", F.col("v").cast("array<double>").alias("v")).toArrow().sort_by([("id", "ascending"), ("n", "ascending")])
+        routers[size["dim"]] = learn(_matrix(got.column("v").combine_chunks()), o, size["rows"])
+    dealt = "n long, dim int, part int"
+    index = ws.table(valid.select("n", "v").mapInArrow(_dealer(routers, False), dealt))
+    asked = ws.table(valid.where("asks").select("n", "v").mapInArrow(_dealer(routers, True), dealt))
     # Both sides are cut into blocks by hash; every block of queries meets every block of its part.
-    held = ws.table(index.groupBy("part").agg(F.ceil(F.count("*") / o.block).cast("int").alias("row_blocks")))
-    asking = ws.table(asked.groupBy("part").agg(F.ceil(F.count("*") / o.queries).cast("int").alias("query_blocks")))
-    blocks = held.join(asking, "part")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    part = ["dim", "part"]
+    held = index.groupBy(*part).agg(F.ceil(F.count("*") / o.block).cast("int").alias("row_blocks"))
+    asking = asked.groupBy(*part).agg(F.ceil(F.count("*") / o.queries).cast("int").alias("query_blocks"))
+    blocks = ws.table(held.join(asking, part))
+    own = lambda n: F.pmod(F.xxhash64("n"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cells = index.join(blocks, "part").select("id", "v", "part", own("row_blocks").alias("r"), every("query_blocks").alias("q"))
-    questions = asked.join(blocks, "part").select("id", "v", "part", own("query_blocks").alias("q"), every("row_blocks").alias("r"))
-    found = questions.groupBy("part", "q", "r").cogroup(cells.groupBy("part", "q", "r")).applyInPandas(_ranker(o.k), "query_id long, vec_id long, score double")
+    cells = index.join(blocks, part).select("n", *part, own("row_blocks").alias("r"), every("query_blocks").alias("q"))
+    questions = asked.join(blocks, part).select("n", *part, own("query_blocks").alias("q"), every("row_blocks").alias("r"))
+    cell = [*part, "q", "r"]
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Each side reads the vectors under names of its own, so that the plan can tell the two apart.
+    vectors = lambda: valid.select(*[F.col(c).alias(c) for c in ("n", "id", "v")])
+    left, right = (x.join(vectors(), "n").repartition(partitions, *cell) for x in (questions, cells))
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_ranker(o.k), "q long, query_id long, vec_id long, n long, score double")
     found = ws.table(found)
     # The k best of each query are kept before and after the shuffle (a window group limit).
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+    order = W.partitionBy("q").orderBy("score", "vec_id", "n")
     out = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= o.k).select("query_id", "rank", "vec_id", "score")
     return ws.finish(out)
