@@ -30,6 +30,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
+#: The word pattern of the file, and the types of its normalizers, for which the code below stands.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+
 def _latin_words() -> re.Pattern:
     """The word pattern of the file for texts of code points below 256, where plain ``re`` can name the classes."""
     kinds = {k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
@@ -57,12 +62,15 @@ class WordIds(dict):
 
 
 class WordBPE:
-    """A tokenizer file whose text is NFC, lower case, with runs of white space as one blank."""
+    """A tokenizer file whose text is NFC, lower case, with runs of white space as one blank; another file is an error."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        if kinds != NORMALIZERS or model["type"] != "BPE" or spec["decoder"] is not None:
+            raise ValueError(f"not a tokenizer file of this kind: {path}")
         self.vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"] or ""
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -73,7 +81,7 @@ class WordBPE:
             self.merges.setdefault(self.vocab[left] << 32 | self.vocab[right], (rank, self.vocab[left + right]))
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
-        self.latin_words = _latin_words()
+        self.latin_words = _latin_words() if split["pattern"]["Regex"] == WORDS else self.words
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         alphabet = byte_alphabet()
         self.first = [self.vocab[c] for c in alphabet]

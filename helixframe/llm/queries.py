@@ -79,7 +79,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = f"{Workspace(spark, 'tokens').root}/files"
-    write_token_files(_read(spark, sf_dir, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"), 50257)
+    write_token_files(_read(spark, sf_dir, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_files(spark, files, summary=True)
 
 

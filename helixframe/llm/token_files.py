@@ -18,6 +18,7 @@ and ``start`` in its footers find a block without reading others.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -47,16 +48,20 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """A payload of the ids."""
+    """A payload of the ids.  Eight ids fill ``bits`` bytes, so each of the eight places has its own shift."""
     ids = np.ascontiguousarray(ids, np.uint32)
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id does not fit {bits} bits")
-    if bits == 16:
-        body = ids.astype("<u2").tobytes()
-    else:
-        spread = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
-        body = np.packbits(spread, bitorder="little").tobytes()
-    return _HEAD.pack(MAGIC, 1, bits, 0, len(ids)) + body + bytes(8)
+    groups = -(-len(ids) // 8)
+    eights = np.zeros((groups, 8), np.uint64)
+    eights.ravel()[: len(ids)] = ids
+    body = np.zeros((groups, bits + 8), np.uint8)
+    for place in range(8):
+        byte, shift = divmod(place * bits, 8)
+        moved = eights[:, place] << np.uint64(shift)
+        for k in range((shift + bits + 7) // 8):
+            body[:, byte + k] |= (moved >> np.uint64(8 * k)).astype(np.uint8)
+    return _HEAD.pack(MAGIC, 1, bits, 0, len(ids)) + body[:, :bits].tobytes()[: -(-len(ids) * bits // 8)] + bytes(8)
 
 
 def unpack(payload: bytes, begin: int = 0, end: int | None = None) -> np.ndarray:
@@ -64,22 +69,43 @@ def unpack(payload: bytes, begin: int = 0, end: int | None = None) -> np.ndarray
     magic, version, bits, _, n = _HEAD.unpack_from(payload)
     if magic != MAGIC or version != 1:
         raise ValueError("not a token block")
-    end = n if end is None else min(end, n)
-    count = max(0, end - begin)
-    if bits == 16:
-        return np.frombuffer(payload, "<u2", count, _HEAD.size + 2 * begin).astype(np.uint32)
-    at = (np.arange(begin, begin + count, dtype=np.int64)) * bits
-    raw = np.frombuffer(payload, np.uint8, offset=_HEAD.size)
-    window = np.zeros(count, np.uint64)
-    for k in range(5):
-        window |= raw[(at >> 3) + k].astype(np.uint64) << np.uint64(8 * k)
-    return ((window >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+    begin = min(begin, n)
+    end = max(begin, n if end is None else min(end, n))
+    first, groups = begin // 8, -(-end // 8) - begin // 8
+    at = _HEAD.size + first * bits
+    raw = np.frombuffer(payload[at : at + groups * bits].ljust(groups * bits, b"\0"), np.uint8).reshape(groups, bits)
+    out = np.empty((groups, 8), np.uint32)
+    mask = np.uint64((1 << bits) - 1)
+    for place in range(8):
+        byte, shift = divmod(place * bits, 8)
+        word = np.zeros(groups, np.uint64)
+        for k in range((shift + bits + 7) // 8):
+            word |= raw[:, byte + k].astype(np.uint64) << np.uint64(8 * k)
+        out[:, place] = (word >> np.uint64(shift)) & mask
+    return out.ravel()[begin - 8 * first : end - 8 * first]
 
 
 #: The pieces of a byte-level tokenizer, and the same for code points below 256 in plain ``re``.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizer file, added tokens included."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    return 1 + max(chain(spec["model"]["vocab"].values(), (x["id"] for x in spec["added_tokens"])), default=0)
+
+
+def cuts_as_here(path: str) -> bool:
+    """Whether a tokenizer file cuts texts by ``PIECES`` and nothing else, so that pieces can be asked for one by one."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    cut = spec.get("pre_tokenizer") or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    marks = any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec["added_tokens"])
+    return bool(plain and spec.get("normalizer") is None and not marks)
+
+
 def _latin_pieces() -> re.Pattern:
     import unicodedata
 
@@ -89,7 +115,7 @@ def _latin_pieces() -> re.Pattern:
 
 
 class LibraryEncoder:
-    """A byte-level file of the tokenizers library, asked once for each distinct piece of text.
+    """A file of the tokenizers library, asked once for each distinct piece of text if it cuts them as here, else text by text.
 
     Ids of pieces are kept as little-endian 32-bit bytes, in two generations, so what is
     asked for again outlives a full cache; a document's ids are joined without an object for each.
@@ -102,9 +128,11 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_piece = cuts_as_here(path)
         self.pieces, self.latin, self.wide = regex.compile(PIECES), _latin_pieces(), re.compile("[^\x00-\xff]")
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
         self.kept, self.new, self.old = kept, {}, {}
 
     def _cut(self, text: str) -> list[str]:
@@ -153,7 +181,7 @@ class LibraryEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes each."""
-        cut = [[] if any(mark in text for mark in self.marks) else self._cut(text) for text in texts]
+        cut = [self._cut(text) if self.by_piece and not any(mark in text for mark in self.marks) else [] for text in texts]
         got = self._look_up(list(chain.from_iterable(cut)))
         out, at = [], 0
         for text, pieces in zip(texts, cut, strict=True):
@@ -209,16 +237,18 @@ def _writer(path: str, bits: int, end_id: int):
     return run
 
 
-def write_token_files(docs: DataFrame, out: str, path: str, vocabulary: int, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts, append ``end_id`` to each, and write them to ``out`` in ascending order of ids.
 
+    An id takes the fewest bits that hold the vocabulary of the file at ``path``, and ``end_id``.
     Ranges of ids come from Spark's sampling, so no task gets more than its share,
     and ties (repeated ids, null ids, which come first) are dealt by their text.
     A null text counts as empty; only the two columns are read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    ordered.mapInArrow(_writer(path, width(vocabulary), end_id), BLOCK_SCHEMA).write.parquet(out)
+    bits = width(max(vocabulary_size(path), end_id + 1))
+    ordered.mapInArrow(_writer(path, bits, end_id), BLOCK_SCHEMA).write.parquet(out)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +268,32 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+def _bases(blocks: DataFrame) -> DataFrame:
+    """(shard, base): the ids of all shards before.  One row a shard is summed in order."""
+    totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    return totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
+
+
+def read_token_range(spark: SparkSession, path: str, begin: int, end: int) -> DataFrame:
+    """(start, ids): the ids at places begin..end of all files, a row for each block that has some; ``start`` is the place of the first.
+
+    Only blocks that overlap are read, and of them only the groups of eight ids around the range are unpacked.
+    Places beyond the last id are left out.
+    """
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    near = _bases(blocks).where(F.col("base") < end)
+    rows = blocks.select("shard", "start", "n_ids", "payload").join(near, "shard").withColumn("at", F.col("base") + F.col("start"))
+    rows = rows.where((F.col("at") < end) & (F.col("at") + F.col("n_ids") > begin)).select("at", "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = unpack(payload.as_py(), max(0, begin - at), end - at)
+                yield pa.RecordBatch.from_arrays([pa.array([max(at, begin)], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], ["start", "ids"])
+
+    return rows.mapInArrow(run, "start long, ids array<long>")
+
+
 def read_token_files(spark: SparkSession, path: str, summary: bool = False) -> DataFrame:
     """Documents of the files: ``doc_id, start, n_tokens, ids`` (with ``summary`` their CRC-32 in place of the ids).
 
@@ -245,8 +301,7 @@ def read_token_files(spark: SparkSession, path: str, summary: bool = False) -> D
     row a shard is summed in order.
     """
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    base = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
+    base = _bases(blocks)
     names = "ids_crc32 long" if summary else "ids array<long>"
     docs = blocks.select("shard", "start", "doc_ids", "lengths", "payload").mapInArrow(_summaries if summary else _reader, f"shard int, doc_id long, start long, n_tokens long, {names}")
     return docs.join(base, "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", names.split()[0])
