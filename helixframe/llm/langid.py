@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-All languages share one sorted hash array an order; beside each key stands the
+Languages share one sorted hash array an order, in groups of ``GROUP``; beside each key stands the
 log probability in every language (and, as a context, every back-off weight).  A
 text goes to the language of lowest cross-entropy a character.
 """
@@ -18,25 +18,27 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import text as tx
 
-#: Bits a symbol takes in a packed n-gram; symbol 0 pads the start, 1 is any gap between words, 2 any unlisted letter.
-SYMBOL_BITS = 12
+#: Symbol 0 pads the start, 1 is any gap between words, 2 any letter that no learned text holds.
 START, GAP, OTHER = 0, 1, 2
+#: Bits that such a letter costs.
+UNSEEN = 12
+#: Languages in one set of arrays; a language's probabilities do not depend on the others of its group.
+GROUP = 32
 
 
 @dataclass(frozen=True)
 class LangOptions:
     """``sample_rows`` bounds the labelled rows a language that are learned from (drawn by a hash of the id).
 
-    At most ``most_langs`` languages, the most frequent, are learned.
+    Every language and every letter of the sample is learned.
     A fifth of the rows is kept out of the counts, to calibrate.  ``order`` is the length of
-    the n-grams.  A text is rejected if its surprise is over ``slack`` times that which the
+    the n-grams, less where the alphabet needs so many bits a symbol that 64 do not hold them.  A text is rejected if its surprise is over ``slack`` times that which the
     share ``usual`` of the calibration rows of its language stays below, so odd rows among them
     (up to a tenth) do not set the limit; a language with fewer than ``least_rows`` such rows
     has the limit of all rows.
     """
 
     sample_rows: int = 1500
-    most_langs: int = 256
     order: int = 4
     usual: float = 0.9
     slack: float = 10.0
@@ -76,7 +78,11 @@ def has_letter(out: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] > total[bounds[:-1]]
 
 
-def ngrams(symbols: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
+def symbol_bits(alphabet: np.ndarray) -> int:
+    return (len(alphabet) + 2).bit_length()
+
+
+def ngrams(symbols: np.ndarray, bounds: np.ndarray, order: int, bits: int) -> np.ndarray:
     """Packed n-grams that end at each position but the first of every text; before its first blank stand start symbols."""
     n = len(symbols)
     packed = np.zeros(n, np.uint64)
@@ -86,7 +92,7 @@ def ngrams(symbols: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
         part[back:] = symbols[: n - back]
         if back:
             part[age < back] = START
-        packed = packed << np.uint64(SYMBOL_BITS) | part
+        packed = packed << np.uint64(bits) | part
     return packed
 
 
@@ -126,14 +132,14 @@ def _order(packed: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> Order:
 
 @dataclass(frozen=True)
 class LangModel:
-    """``alphabet`` (sorted code points) numbers the symbols from 3; ``orders[n - 1]`` has the n-grams of order n.
+    """``alphabet`` (sorted code points) numbers the symbols from 3; ``groups[g][n - 1]`` has the n-grams of order n.
 
     ``centre`` and ``limit`` have a value for each language, once calibrated.
     """
 
     langs: list[str]
     alphabet: np.ndarray
-    orders: list[Order]
+    groups: list[list[Order]]
     beta: float = 1.0
     centre: np.ndarray | float = 0.0
     limit: np.ndarray | float = float("inf")
@@ -147,7 +153,7 @@ class LangModel:
         """Bits a character (text, language), characters, and whether the text has a letter."""
         codes, bounds = letter_stream(texts)
         letters = has_letter(codes, bounds)
-        packed = ngrams(self.symbols(codes), bounds, len(self.orders))
+        packed = ngrams(self.symbols(codes), bounds, len(self.groups[0]), symbol_bits(self.alphabet))
         scored = np.ones(len(codes), bool)
         scored[bounds[:-1]] = False
         where = np.flatnonzero(scored)
@@ -159,25 +165,8 @@ class LangModel:
 
     def logs(self, packed: np.ndarray) -> np.ndarray:
         """log2 probability of the last symbol of each n-gram given those before, by language."""
-        out = np.zeros((len(packed), len(self.langs)), np.float32)
-        todo, left = np.arange(len(packed)), packed
-        for n in range(len(self.orders), 0, -1):
-            order = self.orders[n - 1]
-            row = order.find(left)
-            hit = row >= 0
-            out[todo[hit]] += order.logp[row[hit]]
-            todo, left = todo[~hit], left[~hit]
-            if not len(todo):
-                break
-            if n == 1:
-                out[todo] += np.float32(-SYMBOL_BITS)
-                break
-            shorter = self.orders[n - 2]
-            context = shorter.find(left >> np.uint64(SYMBOL_BITS))
-            known = context >= 0
-            out[todo[known]] += shorter.backoff[context[known]]
-            left = left & np.uint64((1 << SYMBOL_BITS * (n - 1)) - 1)
-        return out
+        bits = symbol_bits(self.alphabet)
+        return np.concatenate([_logs(orders, packed, bits) for orders in self.groups], axis=1)
 
     def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Best language (-1: no letter), its calibrated probability, bits a character, and whether it is rejected."""
@@ -191,18 +180,48 @@ class LangModel:
         return np.where(letters, best, -1), np.where(letters, 1 / odds.sum(1), 0.0), low, ~letters | (_surprise(low, n, centre) > limit)
 
 
+def _logs(orders: list[Order], packed: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros((len(packed), orders[0].logp.shape[1]), np.float32)
+    todo, left = np.arange(len(packed)), packed
+    for n in range(len(orders), 0, -1):
+        order = orders[n - 1]
+        row = order.find(left)
+        hit = row >= 0
+        out[todo[hit]] += order.logp[row[hit]]
+        todo, left = todo[~hit], left[~hit]
+        if not len(todo):
+            break
+        if n == 1:
+            out[todo] -= np.float32(UNSEEN)
+            break
+        shorter = orders[n - 2]
+        context = shorter.find(left >> np.uint64(bits))
+        known = context >= 0
+        out[todo[known]] += shorter.backoff[context[known]]
+        left = left & np.uint64((1 << bits * (n - 1)) - 1)
+    return out
+
+
 def _surprise(bits: np.ndarray, n: np.ndarray, centre: np.ndarray | float) -> np.ndarray:
     return (bits - centre) * np.sqrt(np.minimum(n, 400))
 
 
 def build(counts: list[dict[int, np.ndarray]], langs: list[str], alphabet: np.ndarray, order: int) -> LangModel:
     """Interpolated Kneser-Ney: ``counts[l][0]`` are packed n-grams of the top order in language l, ``[1]`` how often."""
-    n_lang = len(langs)
-    mask = lambda n: np.uint64((1 << SYMBOL_BITS * n) - 1)
+    bits = symbol_bits(alphabet)
+    groups = [_group(counts[at : at + GROUP], len(alphabet), order, bits) for at in range(0, max(len(langs), 1), GROUP)]
+    return LangModel(langs, alphabet, groups)
+
+
+def _group(counts: list[dict[int, np.ndarray]], letters: int, order: int, bits: int) -> list[Order]:
+    n_lang = len(counts)
+    mask = lambda n: np.uint64((1 << bits * n) - 1)
     grams: list[np.ndarray] = [np.zeros(0, np.uint64)] * (order + 1)
     grams[order] = np.unique(np.concatenate([c[0] for c in counts] or [np.zeros(0, np.uint64)]))
     for n in range(order, 1, -1):
-        grams[n - 1] = np.unique(np.concatenate((grams[n] >> np.uint64(SYMBOL_BITS), grams[n] & mask(n - 1))))
+        grams[n - 1] = np.unique(np.concatenate((grams[n] >> np.uint64(bits), grams[n] & mask(n - 1))))
+    # Every group has all letters, so that what a language has not seen costs the same in each.
+    grams[1] = np.union1d(grams[1], np.array([START, GAP, *range(3, letters + 3)], np.uint64))
     table: list[np.ndarray] = [np.zeros((len(g), n_lang)) for g in grams]
     for i, c in enumerate(counts):
         table[order][np.searchsorted(grams[order], c[0]), i] = c[1]
@@ -224,7 +243,7 @@ def build(counts: list[dict[int, np.ndarray]], langs: list[str], alphabet: np.nd
             n_context = 1
             lower = np.broadcast_to(below, (len(grams[1]), n_lang))
         else:
-            context = np.searchsorted(grams[n - 1], grams[n] >> np.uint64(SYMBOL_BITS))
+            context = np.searchsorted(grams[n - 1], grams[n] >> np.uint64(bits))
             n_context = len(grams[n - 1])
             lower = probs[-1][np.searchsorted(grams[n - 1], grams[n] & mask(n - 1))]
         total, kinds = np.zeros((n_context, n_lang)), np.zeros((n_context, n_lang))
@@ -236,7 +255,7 @@ def build(counts: list[dict[int, np.ndarray]], langs: list[str], alphabet: np.nd
     for n in range(1, order + 1):
         backoff = backoffs[n] if n < order else np.zeros((len(grams[n]), n_lang))
         orders.append(_order(grams[n], np.log2(np.maximum(probs[n - 1], 1e-12)), backoff))
-    return LangModel(langs, alphabet, orders)
+    return orders
 
 
 def _pieces(texts: list[str], most: int = 1 << 18) -> Iterator[list[str]]:
@@ -278,24 +297,27 @@ def _calibrated(model: LangModel, texts: list[str], langs: list[str], o: LangOpt
         own = own if own.sum() >= o.least_rows else right
         centre[i] = np.median(low[own])
         limit[i] = o.slack * max(np.quantile(_surprise(low[own], n[own], centre[i]), o.usual), 0.5)
-    return LangModel(model.langs, model.alphabet, model.orders, beta, centre, limit)
+    return LangModel(model.langs, model.alphabet, model.groups, beta, centre, limit)
 
 
 def fit(labelled: DataFrame, options: LangOptions | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
-    """Learn from the rows whose language and text are not null; a bounded sample of each language."""
+    """Learn from the rows whose language and text are not null; a bounded sample of each language.
+
+    Rows are drawn by a hash of id and text, so rows without an id are drawn one by one, and of repeated rows one is.
+    """
     o = options or LangOptions()
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col), F.lit(o.seed)), F.lit(1 << 30)).alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(o.most_langs)
-    rows = rows.join(F.broadcast(sizes), "lang").where(F.col("draw") < F.least(F.lit(1.0), o.sample_rows / F.col("n")) * (1 << 30))
+    text = labelled[text_col].cast("string")
+    rows = labelled.select(text.alias("text"), labelled[lang_col].cast("string").alias("lang"), F.pmod(F.xxhash64(labelled[id_col], text, F.lit(o.seed)), F.lit(1 << 40)).alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    rows = rows.join(sizes, "lang").where(F.col("draw") < F.least(F.lit(1.0), o.sample_rows / F.col("n")) * (1 << 40)).dropDuplicates(["lang", "draw"])
     got = sorted(rows.select("lang", "draw", "text").toArrow().to_pylist(), key=lambda r: (r["lang"], r["draw"], r["text"]))
     langs = sorted({r["lang"] for r in got})
     known = [r for i, r in enumerate(got) if i % 5]
-    found = [np.unique(letter_stream(part)[0], return_counts=True) for part in _pieces([r["text"] for r in known])]
-    letters, where = np.unique(np.concatenate([f[0] for f in found] or [np.zeros(0, np.uint32)]), return_inverse=True)
-    often = np.bincount(where, np.concatenate([f[1] for f in found] or [np.zeros(0)]), len(letters))
-    letters, often = letters[letters > 0], often[letters > 0]
-    most = (1 << SYMBOL_BITS) - 3
-    alphabet = np.sort(letters[np.lexsort((letters, -often))[:most]])
+    found = [np.unique(letter_stream(part)[0]) for part in _pieces([r["text"] for r in known])]
+    letters = np.unique(np.concatenate(found or [np.zeros(0, np.uint32)]))
+    alphabet = letters[letters > 0]
+    bits = symbol_bits(alphabet)
+    order = min(o.order, 64 // bits)
     bare = LangModel(langs, alphabet, [])
     counts = []
     for lang in langs:
@@ -303,13 +325,13 @@ def fit(labelled: DataFrame, options: LangOptions | None = None, id_col: str = "
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for part in _pieces(texts):
             codes, bounds = letter_stream(part)
-            packed = ngrams(bare.symbols(codes), bounds, o.order)
+            packed = ngrams(bare.symbols(codes), bounds, order, bits)
             scored = np.ones(len(codes), bool)
             scored[bounds[:-1]] = False
             parts.append(np.unique(packed[scored], return_counts=True))
         keys, where = np.unique(np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)]), return_inverse=True)
         counts.append((keys, np.bincount(where, np.concatenate([p[1] for p in parts] or [np.zeros(0)]), len(keys))))
-    model = build(counts, langs, alphabet, o.order)
+    model = build(counts, langs, alphabet, order)
     held = [r for i, r in enumerate(got) if not i % 5]
     return _calibrated(model, [r["text"] for r in held], [r["lang"] for r in held], o)
 

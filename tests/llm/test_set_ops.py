@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm.ann import AnnOptions, balanced_parts, nearest, neighbour_graph
+from helixframe.llm.ann import AnnOptions, balanced_parts, learn, nearest, neighbour_graph
 from helixframe.llm.components import components
 from helixframe.llm.embed_dedup import CrossPolytopeOptions, embedding_dedup, hadamard
 from helixframe.llm.minhash import MinHashOptions, drop_near_duplicates, least_matches, minhash_dedup
@@ -228,6 +228,46 @@ def test_neighbours_odd_rows(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids_and_lengths(spark):
+    """Rows that share an id but not the vector are all candidates, and each vector length is searched."""
+    rows = [(0, [1.0, 1.0]), (7, [1.0, 2.0]), (7, [1.0, 3.0]), (100, [5.0, 0.0]), (100, [6.0, 0.0]), (200, [1.0, 1.0, 1.0]), (8, [1.0, 1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("n", F.lit("x")).withColumn("part", F.lit(1)).withColumn("v", F.lit(None).cast("string"))
+    for options in (AnnOptions(), AnnOptions(learned=1, block=2, queries=1)):
+        got = nearest(df, F.col("vec_id") % 100 == 0, options=options).collect()
+        of = lambda q: [(r["vec_id"], round(r["score"], 6)) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]  # noqa: E731, B023
+        assert of(0) == [(7, 1.0), (7, 2.0), (100, round(17**0.5, 6)), (100, round(26**0.5, 6))]
+        assert of(200) == [(8, 2.0)] and len(of(100)) == 8 and (100, 1.0) in of(100)
+
+
+def test_parts_grow_with_the_rows():
+    x = np.random.default_rng(4).normal(size=(3000, 6))
+    assert learn(x, AnnOptions(steps=5), 3000).weights.shape[1] == 16
+    assert learn(x, AnnOptions(steps=5), 100_000).weights.shape[1] == 25
+    assert learn(x, AnnOptions(steps=5), 10**9).weights.shape[1] == 60
+
+
+def test_recall_of_the_registered_query(spark):
+    """op5 on its whole table against brute force: recall, exact scores, order, ties."""
+    from helixframe.llm.queries import op5_nearest_neighbours
+
+    folder = "/root/testdata/sf0.1"
+    data = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = data.vec_id.to_numpy(), np.stack(data.embedding.to_list()).astype(np.float64)
+    got = {}
+    for r in op5_nearest_neighbours(spark, folder).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {int(i) for i in ids if i % 100 == 0}
+    hit = 0
+    for q, found in got.items():
+        far = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        far[ids == q] = np.inf
+        found.sort()
+        assert [f[0] for f in found] == list(range(1, 11)) and [(f[2], f[1]) for f in found] == sorted((f[2], f[1]) for f in found)
+        assert np.allclose([f[2] for f in found], [far[ids == f[1]][0] for f in found], rtol=1e-14)
+        hit += len({int(i) for i in ids[np.lexsort((ids, far))[:10]]} & {f[1] for f in found})
+    assert hit / (10 * len(got)) >= 0.9
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1600, 8))

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from helixframe.llm import langid, text, toxicity
 from helixframe.llm.bpe import WordBPE, bpe_encode_decode
 from helixframe.llm.licenses import TEMPLATES, scan_licenses
-from helixframe.llm.token_files import LibraryEncoder, pack, read_token_files, unpack, width, write_token_files
+from helixframe.llm.token_files import LibraryEncoder, cuts_as_here, pack, read_token_files, read_token_range, unpack, vocabulary_size, width, write_token_files
 
 WORD_FILE, BYTE_FILE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
 DIR = "/root/testdata/sf0.001"
@@ -110,7 +110,7 @@ def test_token_files(spark, docs, odd, tmp_path):
     theirs = Tokenizer.from_file(BYTE_FILE)
     for k, df in enumerate((docs, odd, odd.limit(0))):
         out = f"file://{tmp_path}/{k}"
-        write_token_files(df, out, BYTE_FILE, 50_257)
+        write_token_files(df, out, BYTE_FILE)
         rows = df.select("doc_id", "text").collect()
         rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
         want, at = [], 0
@@ -122,6 +122,28 @@ def test_token_files(spark, docs, odd, tmp_path):
         assert got == want
         whole = {(r["doc_id"], r["start"]): r["ids"] for r in read_token_files(spark, out).collect()}
         assert all(zlib.crc32(np.array(whole[d, s], "<u4").tobytes()) == c for d, s, _, c in want)
+        flat = [i for r in rows for i in theirs.encode(r["text"] or "", add_special_tokens=False).ids + [2]]
+        for begin, end in ((0, 10), (at // 2 - 3, at // 2 + 70_001), (at - 5, at + 100), (7, 7)):
+            got = [i for r in read_token_range(spark, out, begin, end).orderBy("start").collect() for i in r["ids"]]
+            assert got == flat[max(begin, 0) : end]
+
+
+def test_vocabulary_and_cuts_come_from_the_file(tmp_path):
+    """A file with another pre-tokenizer is asked text by text, and widths follow its vocabulary."""
+    import json
+
+    assert vocabulary_size(BYTE_FILE) == 50_257 and width(vocabulary_size(BYTE_FILE)) == 16 and cuts_as_here(BYTE_FILE)
+    spec = json.load(open(BYTE_FILE, encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 70_000, "content": "<|more|>"})
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    assert not cuts_as_here(path) and vocabulary_size(path) == 70_001
+    texts = ["Hello world", "", " two  words\n"]
+    theirs = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in LibraryEncoder(path).encode_many(texts)] == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError):
+        WordBPE(BYTE_FILE)
 
 
 def brute_kneser_ney(texts, order, alphabet_size):
@@ -162,14 +184,14 @@ def test_kneser_ney_equals_recursion():
     codes, bounds = langid.letter_stream(texts)
     alphabet = np.unique(codes[codes > 0])
     bare = langid.LangModel(["x"], alphabet, [])
-    packed = langid.ngrams(bare.symbols(codes), bounds, 3)
+    packed = langid.ngrams(bare.symbols(codes), bounds, 3, langid.symbol_bits(alphabet))
     scored = np.ones(len(codes), bool)
     scored[bounds[:-1]] = False
     model = langid.build([np.unique(packed[scored], return_counts=True)], ["x"], alphabet, 3)
-    prob = brute_kneser_ney(texts, 3, len(model.orders[0].keys) + 1)
+    prob = brute_kneser_ney(texts, 3, len(model.groups[0][0].keys) + 1)
     for probe in ("the hat", "tac", "man at the sea"):
         c, b = langid.letter_stream([probe])
-        p = langid.ngrams(model.symbols(c), b, 3)[1:]
+        p = langid.ngrams(model.symbols(c), b, 3, langid.symbol_bits(alphabet))[1:]
         s = ["^", "^", " ", *probe, " "]
         want = [np.log2(prob(tuple(s[i - 2 : i + 1]))) for i in range(3, len(s))]
         assert np.allclose(model.logs(p)[:, 0], want, atol=1e-4)
@@ -181,7 +203,7 @@ def test_a_text_is_judged_alone():
     got = ["".join(chr(c) if c else " " for c in codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     assert got == [" the cat ", " ", " ", " ", " a b ", " so it goes ", " ünïcode ß ", " end "]
     alphabet = np.unique(codes[codes > 0])
-    packed = langid.ngrams(langid.LangModel(["x"], alphabet, []).symbols(codes), bounds, 3)
+    packed = langid.ngrams(langid.LangModel(["x"], alphabet, []).symbols(codes), bounds, 3, langid.symbol_bits(alphabet))
     scored = np.ones(len(codes), bool)
     scored[bounds[:-1]] = False
     model = langid.build([np.unique(packed[scored], return_counts=True)], ["x"], alphabet, 3)
@@ -206,6 +228,57 @@ def test_language_id_held_out(spark, docs, odd):
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"} and langid.identify(odd.limit(0), model).count() == 0
 
 
+def test_many_letters_and_languages(spark):
+    """No letter of a large alphabet is folded into another, and languages beyond one group are told apart."""
+    hangul = [chr(0xAC00 + i) for i in range(11_172)]
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.sample(hangul, 400)), "ko") for i in range(120)]
+    stems = {f"l{k:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(30)] for k in range(40)}
+    rows += [(1000 + 20 * k + i, " ".join(rng.choices(words, k=40)), name) for k, (name, words) in enumerate(sorted(stems.items())) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.alphabet) > 10_000 and len(model.langs) == 41 and len(model.groups) == 2
+    symbols = model.symbols(np.array([ord(c) for c in hangul], np.uint32))
+    assert len(set(symbols.tolist())) == (symbols != langid.OTHER).sum() + (symbols == langid.OTHER).any()
+    best = model.judge([" ".join(rng.choices(stems[x], k=20)) for x in model.langs[1:]] if model.langs[0] == "ko" else [" ".join(rng.choices(stems[x], k=20)) for x in model.langs if x != "ko"])[0]
+    assert [model.langs[b] for b in best] == sorted(stems)
+    alone = langid.build([langid_counts(model, r) for r in (rows[120:140],)], ["x"], model.alphabet, 4)
+    both = langid.build([langid_counts(model, r) for r in (rows[120:140], rows[140:160])], ["x", "y"], model.alphabet, 4)
+    probe = [rows[120][1], "unlike anything"]
+    assert np.allclose(alone.entropies(probe)[0][:, 0], both.entropies(probe)[0][:, 0], atol=1e-5)
+
+
+def langid_counts(model, rows):
+    codes, bounds = langid.letter_stream([r[1] for r in rows])
+    packed = langid.ngrams(model.symbols(codes), bounds, 4, langid.symbol_bits(model.alphabet))
+    scored = np.ones(len(codes), bool)
+    scored[bounds[:-1]] = False
+    return np.unique(packed[scored], return_counts=True)
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"text number {i} here", "en") for i in range(3000)] + [(None, "the same text", "de")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, langid.LangOptions(sample_rows=300))
+    assert model.langs in (["en"], ["de", "en"])
+
+
+def test_registered_language_query(spark):
+    """op1: held-out flags, learning without them, a language for every text with a letter."""
+    from helixframe.llm.queries import op1_language_id
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    got = op1_language_id(spark, DIR).collect()
+    known = {r["lang"] for i, r in docs.items() if r["lang"] is not None and zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(got) == len(docs) and {r["doc_id"] for r in got} == set(docs)
+    for r in got:
+        text = docs[r["doc_id"]]["text"]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+        assert (r["lang_pred"] in known) if text and any(c.isalpha() for c in text) else r["lang_pred"] == "und"
+    right = [r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in got if r["held_out"] and docs[r["doc_id"]]["lang"]]
+    assert sum(right) / len(right) > 0.95
+
+
 @pytest.mark.parametrize("left_out", ["en", "de"])
 def test_odd_rows_do_not_set_the_rejection_limit(spark, left_out):
     """Junk among the labelled rows, and yet a language that was left out and random letters are rejected."""
