@@ -22,6 +22,8 @@ from helixframe.llm import text as tx
 START, GAP, OTHER = 0, 1, 2
 #: Bits that such a letter costs.
 UNSEEN = 12
+#: Up to so many counts of languages are broadcast; of more the join is a shuffle.
+MOST_BROADCAST = 10_000
 #: Languages in one set of arrays; a language's probabilities do not depend on the others of its group.
 GROUP = 32
 
@@ -309,6 +311,9 @@ def fit(labelled: DataFrame, options: LangOptions | None = None, id_col: str = "
     text = labelled[text_col].cast("string")
     rows = labelled.select(text.alias("text"), labelled[lang_col].cast("string").alias("lang"), F.pmod(F.xxhash64(labelled[id_col], text, F.lit(o.seed)), F.lit(1 << 40)).alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    listed = sizes.limit(MOST_BROADCAST + 1).collect()
+    if len(listed) <= MOST_BROADCAST:
+        sizes = F.broadcast(labelled.sparkSession.createDataFrame(listed, sizes.schema))
     rows = rows.join(sizes, "lang").where(F.col("draw") < F.least(F.lit(1.0), o.sample_rows / F.col("n")) * (1 << 40)).dropDuplicates(["lang", "draw"])
     got = sorted(rows.select("lang", "draw", "text").toArrow().to_pylist(), key=lambda r: (r["lang"], r["draw"], r["text"]))
     langs = sorted({r["lang"] for r in got})
