@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,39 +26,97 @@ class FMOptions:
     out, and so are those whose shares in the two labels differ by fewer than ``least_z``
     standard errors, unless they belong to a pair that tells more than both its terms
     (``paired``).  ``l1`` drives weights and whole factor vectors of uninformative terms to zero.
+    One row in ``fold`` is kept out of all that, and sets how far the model's odds may be trusted.  Pairs are
+    counted in ``pair_rows`` of the others.
     """
 
-    sample_rows: int = 12000
+    sample_rows: int = 15_000
+    fold: int = 5
+    pair_rows: int = 5000
     bits: int = 22
     factors: int = 4
     least_rows: int = 4
     least_z: float = 2.5
-    steps: int = 200
-    rate: float = 0.3
+    steps: int = 400
+    rate: float = 0.1
     l1: float = 5e-4
     seed: int = 5
 
 
 @dataclass(frozen=True)
 class FMModel:
-    """``slots`` (sorted) have weight ``w`` and factors ``v``; others have none."""
+    """``slots`` (sorted) have weight ``w`` and factors ``v``; others have none.
+
+    The score is ``floor`` + (1 - ``floor``) times the logistic of ``slope`` times the machine's sum, plus ``shift``.
+    """
 
     bits: int
     slots: np.ndarray
     bias: float
     w: np.ndarray
     v: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
+    floor: float = 0.0
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """Probability of label 1 for each text."""
-        n = len(column)
-        row, slot = terms(column, self.bits, self.slots)
+        total = self.slope * self.sums(*terms(column, self.bits, self.slots), len(column)) + self.shift
+        return self.floor + (1 - self.floor) / (1 + np.exp(-np.clip(total, -40, 40)))
+
+    def sums(self, row: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+        """Bias, weights and products of factors over all pairs of terms, for ``n`` rows with known terms (row, slot)."""
         at = np.searchsorted(self.slots, slot)
         total = self.bias + np.bincount(row, self.w[at], n)
         for f in range(self.v.shape[1]):
             x = self.v[at, f]
             total += 0.5 * (np.bincount(row, x, n) ** 2 - np.bincount(row, x * x, n))
-        return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+        return total
+
+
+def _logistic(x: np.ndarray, target: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Newton's steps on the log loss of soft targets, with a weak pull of the first coefficient to 0."""
+    loss = lambda at: np.logaddexp(0, x @ at).sum() - (target * (x @ at)).sum() + 1e-3 * at[0] ** 2
+    best = start
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ best, -500, 500)))
+        grad = x.T @ (p - target) + np.array([2e-3 * best[0], 0.0])
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag([2e-3, 1e-9]), grad)
+        size = 1.0
+        while size > 1e-6 and loss(best - size * step) > loss(best):
+            size /= 2
+        best = best - size * step
+        if size * np.abs(step).max() < 1e-7:
+            break
+    return best
+
+
+def calibrated(z: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[float, float, float]:
+    """Slope (not below 0), shift and floor: the chance of label 1 is floor + (1 - floor) / (1 + exp(-(slope z + shift))).
+
+    ``z`` and ``y`` are of rows that the model has not seen.  The floor stands for rows labelled 1 whatever
+    their text says, which would else flatten the slope; of several the likeliest is taken, each with its curve
+    fitted by EM.  Targets are drawn in a little, so that rows told apart without error give a finite slope,
+    and sums that say nothing one of about 0.
+    """
+    scale = max(float(np.median(np.abs(z))), 1e-9)
+    x = np.stack([z / scale, np.ones(len(z))], 1)
+    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    flat = np.array([0.0, np.log(share / (1 - share))])
+    low = 1 / (len(y) + 2)
+    best = (-np.inf, flat, 0.0)
+    for part in (0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3):
+        floor, curve = part * share, flat
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ curve, -500, 500)))
+            curve = _logistic(x, np.clip(np.where(y == 1, p / (floor + (1 - floor) * p), 0.0), low, 1 - low), curve)
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -500, 500)))
+        either = np.clip(floor + (1 - floor) * p, 1e-12, 1 - 1e-12)
+        likely = float(np.log(np.where(y == 1, either, 1 - either)).sum())
+        if curve[0] > 0 and likely > best[0] + 0.5:  # a floor has to earn its place
+            best = (likely, curve, floor)
+    _, curve, floor = best
+    return float(curve[0] / scale), float(curve[1]), floor
 
 
 def terms(column: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +155,7 @@ def _featurizer(bits: int):
             for begin, end in tx.slices(batch.column(0)):
                 row, slot = terms(batch.column(0).slice(begin, end - begin), bits)
                 cuts = np.searchsorted(row, np.arange(end - begin + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), pa.array(slot.astype(np.int32))), batch.column(1).slice(begin, end - begin)], ["terms", "label"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), pa.array(slot.astype(np.int32))), batch.column(1).slice(begin, end - begin), batch.column(2).slice(begin, end - begin)], ["terms", "label", "draw"])
 
     return run
 
@@ -155,30 +213,38 @@ def fit(docs: DataFrame, labels: DataFrame, options: FMOptions | None = None, id
     """Fit on the documents that ``labels`` (id, label of 0 or 1) names.
 
     The bounded sample is drawn from the labels, so it may be broadcast and only the texts it
-    names are read for it.  Of several labels of an id the largest counts.  No labelled
-    document, one label only, or no term that tells anything: every score is the share of label 1.
+    names are read for it.  Of several labels of an id the largest counts.  A part of the sample is kept
+    out to calibrate, so labels that no text explains give scores near the share of label 1.  No labelled
+    document, one label only, or no term that tells anything: every score is that share.
     """
     o = options or FMOptions()
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64("id", F.lit(o.seed)), "id").limit(o.sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id")
-    got = rows.select("text", "label").mapInArrow(_featurizer(o.bits), "terms array<int>, label int").toArrow()
-    y = got.column("label").to_numpy().astype(np.float64)
-    share = float(y.mean()) if len(y) else 0.0
+    draw = F.pmod(F.xxhash64("id", F.lit(o.seed + 1)), F.lit(1 << 30)).cast("int").alias("draw")
+    got = rows.select("text", "label", draw).mapInArrow(_featurizer(o.bits), "terms array<int>, label int, draw int").toArrow()
+    labels_of = got.column("label").to_numpy().astype(np.float64)
+    draws = got.column("draw").to_numpy()
+    seen = draws % o.fold != 0
+    if not 0 < labels_of[seen].sum() < seen.sum() or not 0 < labels_of[~seen].sum() < (~seen).sum():
+        seen[:] = True  # too few rows to keep some out
+    y = labels_of[seen]
+    share = float(labels_of.mean()) if len(labels_of) else 0.0
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     flat = FMModel(o.bits, np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, o.factors)))
     if not 0 < share < 1:
         return flat
     lists = got.column("terms")
 
-    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row, slot) of some rows at a time, so that the driver holds no array of all terms."""
-        at = 0
+    def parts(wanted: np.ndarray = seen) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, slot) of some of the wanted rows at a time, so that the driver holds no array of all terms."""
+        at, number = 0, np.cumsum(wanted) - 1
         for chunk in lists.chunks:
             for begin in range(0, len(chunk), 500):
                 part = chunk.slice(begin, 500)
-                size = np.diff(part.offsets.to_numpy())
-                yield np.repeat(np.arange(at, at + len(part)), size), part.flatten().to_numpy()
+                row = np.repeat(np.arange(at, at + len(part)), np.diff(part.offsets.to_numpy()))
+                keep = wanted[row]
+                yield number[row[keep]], part.flatten().to_numpy()[keep]
                 at += len(part)
 
     counts = np.zeros((2, 1 << o.bits), np.int32)
@@ -192,30 +258,38 @@ def fit(docs: DataFrame, labels: DataFrame, options: FMOptions | None = None, id
     z = np.abs(n1 / y.sum() - n0 / (len(y) - y.sum())) / np.sqrt(pooled * (1 - pooled) * (1 / y.sum() + 1 / (len(y) - y.sum())))
     number = np.full(1 << o.bits, -1, np.int32)
 
-    def incidence(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def incidence(slots: np.ndarray, wanted: np.ndarray = seen) -> tuple[np.ndarray, np.ndarray]:
         number[:] = -1
         number[slots] = np.arange(len(slots))
-        kept = [(row[number[slot] >= 0].astype(np.int32), number[slot[number[slot] >= 0]]) for row, slot in parts()]
+        kept = [(row[number[slot] >= 0].astype(np.int32), number[slot[number[slot] >= 0]]) for row, slot in parts(wanted)]
         return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
     telling = z >= o.least_z
-    if not telling.all():
-        telling |= paired(*incidence(slots), y, len(slots))
+    some = seen.copy()
+    some[seen] = draws[seen] <= np.sort(draws[seen])[: o.pair_rows][-1]
+    if not telling.all() and 0 < labels_of[some].sum() < some.sum():
+        telling |= paired(*incidence(slots, some), labels_of[some], len(slots))
     slots = slots[telling]
     if not len(slots):
         return flat
     row, column = (x.astype(np.int64) for x in incidence(slots))
-    del got, lists, number
     # Rows come in no fixed order: sort the incidence list by what each row holds.
     digest = np.bincount(row, (column * 2654435761 % 1000003).astype(np.float64), len(y))
     place = np.empty(len(y), np.int64)
     place[np.lexsort((digest, y))] = np.arange(len(y))
     order = np.lexsort((column, place[row]))
-    model = _descend(place[row][order], column[order], np.sort(y), slots, bias, o)
-    return model if len(model.slots) else flat
+    model = _descend(place[row][order], column[order], np.sort(y), slots, o)
+    if not len(model.slots):
+        return flat
+    if seen.all():
+        return replace(model, shift=bias)
+    kept = [(row[hit], slot[hit]) for row, slot in parts(~seen) for hit in (np.isin(slot, model.slots),)]
+    z = model.sums(*(np.concatenate(x) for x in zip(*kept, strict=True)), int((~seen).sum()))
+    slope, shift, floor = calibrated(z, labels_of[~seen])
+    return replace(model, slope=slope, shift=shift, floor=floor)
 
 
-def _descend(row: np.ndarray, column: np.ndarray, y: np.ndarray, slots: np.ndarray, bias: float, o: FMOptions) -> FMModel:
+def _descend(row: np.ndarray, column: np.ndarray, y: np.ndarray, slots: np.ndarray, o: FMOptions) -> FMModel:
     """Full-batch Adagrad with proximal steps; all sums run over the incidence list (row, column)."""
     m, n, k = len(slots), len(y), o.factors
     rng = np.random.default_rng(o.seed)

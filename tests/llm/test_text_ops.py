@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from helixframe.llm import langid, text, toxicity
 from helixframe.llm.bpe import WordBPE, bpe_encode_decode
-from helixframe.llm.licenses import TEMPLATES, scan_licenses
+from helixframe.llm.licenses import TEMPLATES, LicenseOptions, scan_licenses
 from helixframe.llm.token_files import LibraryEncoder, cuts_as_here, pack, read_token_files, read_token_range, unpack, vocabulary_size, width, write_token_files
 
 WORD_FILE, BYTE_FILE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -334,6 +334,43 @@ def test_toxicity_without_a_telling_term(spark):
     assert abs(got[0] - 0.1) < 1e-3 and abs(got[1] - 0.1) < 1e-3
 
 
+def test_factorization_machine_equals_the_sum_over_pairs():
+    """Scores against a loop over all pairs of terms."""
+    texts = ["you are a fool", "fools and friends and fools", "", None, "nothing known", "a friendly foolish fellow"]
+    column = pa.array(texts, pa.string())
+    rng = np.random.default_rng(2)
+    slots = np.unique(toxicity.terms(column, 22)[1])[::2]
+    model = toxicity.FMModel(22, slots, -0.3, rng.normal(size=len(slots)), rng.normal(size=(len(slots), 3)), 0.7, 0.2)
+    got = model.scores(column)
+    for i, t in enumerate(texts):
+        mine = [int(np.flatnonzero(slots == s)[0]) for s in set(toxicity.terms(pa.array([t], pa.string()), 22)[1].tolist()) if s in set(slots.tolist())]
+        z = -0.3 + sum(model.w[m] for m in mine) + sum(float(model.v[a] @ model.v[b]) for k, a in enumerate(mine) for b in mine[k + 1 :])
+        assert abs(got[i] - 1 / (1 + np.exp(-(0.7 * z + 0.2)))) < 1e-9
+
+
+@pytest.mark.parametrize("share", [0.1, 0.4])
+def test_labels_that_texts_do_not_explain_drop_almost_nothing(spark, share):
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrs"]
+    df = spark.createDataFrame([(i, " ".join(rng.choices(words, k=25)), int(rng.random() < share)) for i in range(1500)], "doc_id long, text string, label int")
+    model = toxicity.fit(df, df.select("doc_id", "label"))
+    assert toxicity.drop_toxic(df, model).count() > 1450
+
+
+def test_registered_toxicity_query(spark):
+    """op4 on its whole tables: held-out flags, scores, and toxic documents found among those held out."""
+    from helixframe.llm.queries import op4_toxicity
+
+    folder = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = op4_toxicity(spark, folder).collect()
+    assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert sum(p == t for p, t in held) / len(held) > 0.95
+
+
 def test_toxicity_held_out(spark, odd):
     # A fifth of the rows is toxic by one of a few insults with varying ends.
     rng = random.Random(4)
@@ -358,20 +395,51 @@ def test_toxicity_held_out(spark, odd):
     assert np.allclose(again.w, model.w) and (again.slots == model.slots).all()
 
 
-def brute_licenses(rows):
-    def shingles(t):
-        w = re.findall(r"[^\W_]+", t.lower())
-        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+def license_shingles(t):
+    w = re.findall(r"[^\W_]+", (t or "").lower())
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
 
+def brute_licenses(rows):
     out = set()
     for doc, t in rows:
-        mine = set(shingles(t or ""))
+        mine = set(license_shingles(t))
         for name, wording in TEMPLATES:
-            if set(shingles(wording)) <= mine:
+            if set(license_shingles(wording)) <= mine:
                 out.add((doc, name))
     return out
 
 
+def brute_containment(text, wording):
+    """The largest share of a template's shingles in a window of its length and a quarter on both sides."""
+    mine, wanted = license_shingles(text), set(license_shingles(wording))
+    n = len(wanted)
+    step, best = max(1, n // 4), 0.0
+    last = max(len(mine) - n, 0)
+    for at in sorted({*range(0, last + 1, step), last}):
+        best = max(best, len(wanted & set(mine[max(0, at - step) : at + n + step])) / n)
+    return best
+
+
+def test_edited_licenses_equal_brute_force(spark):
+    """Templates with words changed inside other text: what contains 0.8 to 1 of one is found, with its share."""
+    rng = random.Random(21)
+    filler = [f"{a}{b}" for a in ("ba", "to", "mi", "ve", "so") for b in ("len", "rus", "nia", "tor", "bet")]
+    rows = []
+    for i in range(150):
+        name, wording = TEMPLATES[i % len(TEMPLATES)]
+        words = wording.split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, len(words) // 20, len(words) // 12])):
+            words[rng.randrange(len(words))] = rng.choice(filler)
+        rows.append((i, " ".join(rng.choices(filler, k=rng.randrange(0, 300)) + words + rng.choices(filler, k=rng.randrange(0, 300)))))
+    for options in (LicenseOptions(), LicenseOptions(segment=64, library=5)):
+        got = {(r["doc_id"], r["license"]): r["containment"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), options=options).collect()}
+        want = {(i, name): c for i, t in rows for name, wording in TEMPLATES if license_shingles(wording) for c in (brute_containment(t, wording),) if c >= 0.8}
+        assert set(got) <= set(want) and len(set(want) - set(got)) <= len(want) // 100 and len(want) > 80
+        assert any(c < 1 for c in want.values()) and all(got[k] <= want[k] + 1e-12 for k in got)
+        assert sum(abs(got[k] - want[k]) < 1e-12 for k in got) > 0.9 * len(got)
+
+
 def test_licenses(spark, docs, odd):
     whole = {(r["doc_id"], r["license"]) for r in scan_licenses(docs).where("containment = 1").collect()}
     assert whole == brute_licenses(docs.select("doc_id", "text").collect()) and whole
