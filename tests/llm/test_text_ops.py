@@ -358,17 +358,21 @@ def test_labels_that_texts_do_not_explain_drop_almost_nothing(spark, share):
 
 
 def test_registered_toxicity_query(spark):
-    """op4 on its whole tables: held-out flags, scores, and toxic documents found among those held out."""
+    """op4 on its whole tables: held-out flags, scores, and toxic documents found among those held out.
+
+    By recall and false alarms on a table with 97 toxic documents held out; one with six, nine in ten being clean, tells nothing.
+    """
     from helixframe.llm.queries import op4_toxicity
 
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     got = op4_toxicity(spark, folder).collect()
     assert len(got) == spark.read.parquet(f"{folder}/documents.parquet").count()
     for r in got:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
     held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and labels.get(r["doc_id"]) is not None]
-    assert sum(p == t for p, t in held) / len(held) > 0.95
+    toxic, clean = ([p for p, t in held if t == label] for label in (1, 0))
+    assert len(toxic) > 50 and sum(toxic) / len(toxic) > 0.85 and sum(clean) / len(clean) < 0.01
 
 
 def test_toxicity_held_out(spark, odd):
