@@ -223,8 +223,11 @@ def fit(docs: DataFrame, labels: DataFrame, options: FMOptions | None = None, id
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id")
     draw = F.pmod(F.xxhash64("id", F.lit(o.seed + 1)), F.lit(1 << 30)).cast("int").alias("draw")
     got = rows.select("text", "label", draw).mapInArrow(_featurizer(o.bits), "terms array<int>, label int, draw int").toArrow()
-    labels_of = got.column("label").to_numpy().astype(np.float64)
-    draws = got.column("draw").to_numpy()
+    return learn(got.column("terms"), got.column("label").to_numpy().astype(np.float64), got.column("draw").to_numpy(), o)
+
+
+def learn(lists: pa.ChunkedArray, labels_of: np.ndarray, draws: np.ndarray, o: FMOptions) -> FMModel:
+    """The model of rows with known term lists, labels and draws (whole numbers that deal the rows)."""
     seen = draws % o.fold != 0
     if not 0 < labels_of[seen].sum() < seen.sum() or not 0 < labels_of[~seen].sum() < (~seen).sum():
         seen[:] = True  # too few rows to keep some out
@@ -234,7 +237,6 @@ def fit(docs: DataFrame, labels: DataFrame, options: FMOptions | None = None, id
     flat = FMModel(o.bits, np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, o.factors)))
     if not 0 < share < 1:
         return flat
-    lists = got.column("terms")
 
     def parts(wanted: np.ndarray = seen) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row, slot) of some of the wanted rows at a time, so that the driver holds no array of all terms."""
