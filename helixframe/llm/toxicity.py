@@ -37,8 +37,8 @@ class FMOptions:
     factors: int = 4
     least_rows: int = 4
     least_z: float = 2.5
-    steps: int = 400
-    rate: float = 0.1
+    steps: int = 800
+    rate: float = 0.05
     l1: float = 5e-4
     seed: int = 5
 
