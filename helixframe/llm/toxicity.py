@@ -145,7 +145,9 @@ def terms(column: pa.Array, bits: int, wanted: np.ndarray | None = None) -> tupl
     start = np.cumsum(count) - count
     reps = count[word]
     at = np.repeat(start[word] - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
-    got = np.unique(np.repeat(rows, reps) << bits | slot[at])
+    got = np.repeat(rows, reps) << bits | slot[at]
+    got.sort()
+    got = got[np.diff(got, prepend=-1) != 0]
     return got >> bits, got & (1 << bits) - 1
 
 
@@ -292,21 +294,35 @@ def learn(lists: pa.ChunkedArray, labels_of: np.ndarray, draws: np.ndarray, o: F
 
 
 def _descend(row: np.ndarray, column: np.ndarray, y: np.ndarray, slots: np.ndarray, o: FMOptions) -> FMModel:
-    """Full-batch Adagrad with proximal steps; all sums run over the incidence list (row, column)."""
+    """Full-batch Adagrad with proximal steps over the incidence list (row, column), sorted by row.
+
+    Sums over rows take the terms that have a weight or factors at that step, as the others add
+    nothing; gradients are those of all terms, summed over segments of the list sorted by column.
+    """
     m, n, k = len(slots), len(y), o.factors
     rng = np.random.default_rng(o.seed)
-    w, v = np.zeros(m), rng.normal(0, 0.02, (m, k))
-    seen_w, seen_v, seen_b = np.full(m, 1e-8), np.full((m, k), 1e-8), 1e-8
+    w, v = np.zeros(m), np.ascontiguousarray(rng.normal(0, 0.02, (m, k)).T)
+    seen_w, seen_v, seen_b = np.full(m, 1e-8), np.full((k, m), 1e-8), 1e-8
     # Both labels weigh the same, so a rare one is not drowned.
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
-    bias = 0.0
+    by_column = row[np.argsort(column, kind="stable")]
+    held = np.bincount(column, minlength=m)
+    begin = (np.cumsum(held) - held)[held > 0]
+    bias, live, part = 0.0, np.ones(m, bool), (row, column)
     for _ in range(o.steps):
-        sums = np.stack([np.bincount(row, v[column, f], n) for f in range(k)], 1)
-        total = bias + np.bincount(row, w[column] - 0.5 * (v[column] ** 2).sum(1), n) + 0.5 * (sums**2).sum(1)
+        now = (w != 0) | (v != 0).any(0)
+        if (now & ~live).any() or now.sum() < 0.8 * live.sum():
+            live = now
+            at = np.flatnonzero(live[column])
+            part = row[at], column[at]
+        at, term = part
+        sums = np.stack([np.bincount(at, x.take(term), n) for x in v])
+        total = bias + np.bincount(at, (w - 0.5 * (v**2).sum(0)).take(term), n) + 0.5 * (sums**2).sum(0)
         error = weight * (1 / (1 + np.exp(-np.clip(total, -40, 40))) - y)
-        each = error[row]
-        grad_w = np.bincount(column, each, m)
-        grad_v = np.stack([np.bincount(column, each * sums[row, f], m) for f in range(k)], 1) - grad_w[:, None] * v
+        grad = np.zeros((k + 1, m))
+        for to, each in zip(grad, (error, *(error * sums)), strict=True):
+            to[held > 0] = np.add.reduceat(each.take(by_column), begin)
+        grad_w, grad_v = grad[0], grad[1:] - grad[0] * v
         seen_b += error.sum() ** 2
         bias -= o.rate * error.sum() / np.sqrt(seen_b)
         seen_w += grad_w**2
@@ -315,10 +331,10 @@ def _descend(row: np.ndarray, column: np.ndarray, y: np.ndarray, slots: np.ndarr
         w = w - step_w * grad_w
         w = np.sign(w) * np.maximum(np.abs(w) - step_w * o.l1, 0)
         v = v - step_v * grad_v
-        size = np.linalg.norm(v, axis=1, keepdims=True)
-        v = v * np.maximum(1 - step_v.mean(1, keepdims=True) * o.l1 / np.maximum(size, 1e-12), 0)
-    live = (w != 0) | (v != 0).any(1)
-    return FMModel(o.bits, slots[live], bias, w[live], v[live])
+        size = np.sqrt((v**2).sum(0))
+        v = v * np.maximum(1 - step_v.mean(0) * o.l1 / np.maximum(size, 1e-12), 0)
+    live = (w != 0) | (v != 0).any(0)
+    return FMModel(o.bits, slots[live], bias, w[live], np.ascontiguousarray(v[:, live].T))
 
 
 def score(docs: DataFrame, model: FMModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
