@@ -45,14 +45,21 @@ class CrossPolytopeOptions:
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of the rows, whose length is a power of two, scaled to keep lengths."""
+    """Walsh-Hadamard transform of the rows, whose length is a power of two, scaled to keep lengths.
+
+    Coordinates lie one after the other in memory, each of all rows, so that sums run over long stretches.
+    """
     n, d = x.shape
+    x = np.ascontiguousarray(x.T)
     h = 1
     while h < d:
-        x = x.reshape(n, d // (2 * h), 2, h)
-        x = np.concatenate((x[:, :, :1] + x[:, :, 1:], x[:, :, :1] - x[:, :, 1:]), axis=2).reshape(n, d)
+        x = x.reshape(d // (2 * h), 2, h, n)
+        y = np.empty_like(x)
+        np.add(x[:, 0], x[:, 1], out=y[:, 0])
+        np.subtract(x[:, 0], x[:, 1], out=y[:, 1])
+        x = y
         h *= 2
-    return x / math.sqrt(d)
+    return (x.reshape(d, n) / math.sqrt(d)).T
 
 
 @lru_cache
@@ -63,10 +70,20 @@ def _signs(dim: int, function: int) -> np.ndarray:
 
 def rotated(x: np.ndarray, function: int) -> np.ndarray:
     signs = _signs(x.shape[1], function)
-    out = np.zeros((len(x), signs.shape[1]))
+    out = np.zeros((signs.shape[1], len(x))).T
     out[:, : x.shape[1]] = x
     for s in signs:
         out = hadamard(out * s)
+    return np.ascontiguousarray(out)
+
+
+def largest(size: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest values (none negative) of each row, in order; ties to the first place."""
+    left, rows = size.copy(), np.arange(len(size))
+    out = np.empty((len(size), k), np.int64)
+    for i in range(k):
+        out[:, i] = left.argmax(1)
+        left[rows, out[:, i]] = -1
     return out
 
 
@@ -80,7 +97,7 @@ def bucket_keys(x: np.ndarray, tables: int, functions: int, probes: int) -> np.n
         for f in range(functions):
             y = rotated(x, t * functions + f)
             size = np.abs(y)
-            top = np.argsort(-size, axis=1, kind="stable")[:, : min(probes, y.shape[1])]
+            top = largest(size, min(probes, y.shape[1]))
             got = np.take_along_axis(size, top, 1)
             code = 2 * top + (np.take_along_axis(y, top, 1) < 0)
             cost = (got[:, :1] - got) ** 2
