@@ -23,23 +23,27 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from helixframe.llm import text as tx
+from helixframe.llm.bpe import byte_alphabet
 
 MAGIC = b"HXTB"
 _HEAD = struct.Struct("<4sBBHI")
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
+#: Text bytes encoded at once; the more, the fewer distinct words in each.
+SLICE_BYTES = 1 << 23
 
 
 def width(vocabulary: int) -> int:
@@ -114,16 +118,48 @@ def _latin_pieces() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{kinds['L']}]+| ?[{kinds['N']}]+| ?[^{space}{kinds['L']}{kinds['N']}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+#: A blank with white space, or an end of the text, on both sides (RE2).  At all other blanks a cut by ``PIECES`` begins a
+#: piece with the blank, or a run of white space ends before it, so the words between them can be cut one by one.
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LOOSE = rf"(?:\A|[{_SPACE}]) (?:[{_SPACE}]|\z)"
+#: The character that stands for each byte; 0xFF, which UTF-8 never has, parts pieces.
+_ALPHABET = np.array([*map(ord, byte_alphabet()[:255]), ord("\n")], "<u2")
+
+
+class Kept:
+    """Ids by text, in two generations, so what is asked for again outlives a full cache; long texts are not kept."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def look_up(self, texts: list[str], make: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """Ids of each text; ``make`` is asked once for those that are not kept."""
+        got = list(map(self.new.get, texts))
+        lacking = [i for i, ids in enumerate(got) if ids is None]
+        if lacking:
+            fresh = {texts[i]: self.old.get(texts[i]) for i in lacking}
+            ask = [t for t, ids in fresh.items() if ids is None]
+            if ask:
+                fresh.update(zip(ask, make(ask), strict=True))
+            for i in lacking:
+                got[i] = fresh[texts[i]]
+            if len(self.new) + len(fresh) > self.size // 2:
+                self.old, self.new = self.new, {}
+            self.new.update((t, ids) for t, ids in fresh.items() if len(t) <= 64)
+        return got
+
+
 class LibraryEncoder:
     """A file of the tokenizers library, asked once for each distinct piece of text if it cuts them as here, else text by text.
 
-    Ids of pieces are kept as little-endian 32-bit bytes, in two generations, so what is
-    asked for again outlives a full cache; a document's ids are joined without an object for each.
+    Texts are first split at blanks by Arrow, so that only the distinct words of a call, each with the blank
+    before it, become Python strings and are cut to pieces.  Ids are kept as little-endian 32-bit bytes.
     """
 
     def __init__(self, path: str, kept: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library would only wait on one another
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -131,65 +167,86 @@ class LibraryEncoder:
         self.by_piece = cuts_as_here(path)
         self.pieces, self.latin, self.wide = regex.compile(PIECES), _latin_pieces(), re.compile("[^\x00-\xff]")
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else -1
-        self.kept, self.new, self.old = kept, {}, {}
+        self.model = Tokenizer(self.tokenizer.model)  # the same model, for pieces in the letters of its vocabulary, a line each
+        self.model.pre_tokenizer = Split("\n", "removed")
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(1 + max(vocabulary.values(), default=0), np.int64)
+        self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.kept = Kept(kept)
 
     def _cut(self, text: str) -> list[str]:
         return (self.latin if text.isascii() or not self.wide.search(text) else self.pieces).findall(text)
 
-    def _look_up(self, pieces: list[str]) -> list[bytes]:
-        got = list(map(self.new.get, pieces))
-        lacking = [i for i, ids in enumerate(got) if ids is None]
-        if lacking:
-            fresh = dict.fromkeys(pieces[i] for i in lacking)
-            ask = []
-            for piece in fresh:
-                if (ids := self.old.get(piece)) is None:
-                    ask.append(piece)
-                else:
-                    fresh[piece] = ids
-            fresh.update(zip(ask, self._encoded(ask), strict=True))
-            for i in lacking:
-                got[i] = fresh[pieces[i]]
-            if len(self.new) + len(fresh) > self.kept // 2:
-                self.old, self.new = self.new, {}
-            self.new.update((p, ids) for p, ids in fresh.items() if len(p) <= 64)
-        return got
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces from the library, by one call of its model for all; a piece ends where the lengths of tokens say."""
+        raw = np.frombuffer(b"\xff".join(map(str.encode, pieces)), np.uint8)
+        ids = np.array(self.model.encode_batch_fast([_ALPHABET[raw].tobytes().decode("utf-16-le")], add_special_tokens=False)[0].ids, "<u4")
+        parted = np.append(np.flatnonzero(raw == 0xFF), len(raw)) - np.arange(len(pieces))
+        told = np.cumsum(self.lengths[ids])
+        ends = np.searchsorted(told, parted)
+        if not len(ids) or told[-1] != parted[-1] or (told[ends] != parted).any():
+            return [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+        data, ends = ids.tobytes(), (4 * ends + 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces from the library, by one call for all that are no white space, a line each.
+    def _joined(self, cut: list[list[str]]) -> list[bytes]:
+        """Ids of texts that are cut to pieces."""
+        got = iter(self.kept.look_up(list(chain.from_iterable(cut)), self._of_pieces))
+        return [b"".join(islice(got, len(pieces))) for pieces in cut]
 
-        A line break is a piece of its own next to them, so its id parts their ids.
-        """
-        solid = [p for p in pieces if not p.isspace()]
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(solid)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == self.line)
-        if len(cuts) != len(solid) - 1:
-            return [np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
-        raw = ids.tobytes()
-        ends = iter([*(4 * cuts).tolist(), len(raw)])
-        out, begin = [], 0
-        for p in pieces:
-            if p.isspace():
-                out.append(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                end = next(ends)
-                out.append(raw[begin:end])
-                begin = end + 4
-        return out
+    def _cut_words(self, words: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Pieces of words, each with a blank before it, and the number of pieces of each.
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, four bytes each."""
-        cut = [self._cut(text) if self.by_piece and not any(mark in text for mark in self.marks) else [] for text in texts]
-        got = self._look_up(list(chain.from_iterable(cut)))
-        out, at = [], 0
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces or not text:
-                out.append(b"".join(got[at : at + len(pieces)]))
-                at += len(pieces)
-            else:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        Words that begin with no white space are cut as one text, in which only their first pieces hold a blank.
+        """
+        if not len(words):
+            return [], np.zeros(0, np.int64)
+        pieces = self._cut(" " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", words.type))[0].as_py())
+        first = np.fromiter((p[0] == " " for p in pieces), bool, len(pieces))
+        return pieces, np.diff(np.append(np.flatnonzero(first), len(pieces)))
+
+    def _of_words(self, words: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of the pieces of words, each with a blank before it, kind by kind; pieces of each word; the place of each word in that order."""
+        edge = pc.match_substring_regex(words, rf"\A(?:[{_SPACE}]|\z)").to_numpy(zero_copy_only=False)
+        wide = pc.match_substring_regex(words, r"[^\x{00}-\x{ff}]").to_numpy(zero_copy_only=False)
+        kinds = [np.flatnonzero(x) for x in (edge, wide & ~edge, ~(edge | wide))]
+        alone = [self._cut(" " + w) for w in words.take(pa.array(kinds[0])).to_pylist()]
+        cut = [(list(chain.from_iterable(alone)), np.fromiter(map(len, alone), np.int64, len(alone))), *(self._cut_words(words.take(pa.array(k))) for k in kinds[1:])]
+        ids = self.kept.look_up(list(chain.from_iterable(pieces for pieces, _ in cut)), self._of_pieces)
+        return ids, np.concatenate([n for _, n in cut]), np.argsort(np.concatenate(kinds))
+
+    def _plain(self, column: pa.Array) -> list[bytes]:
+        """Ids of texts without loose blanks."""
+        split = pc.split_pattern(column, " ")
+        words, bounds = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = words.dictionary_encode()
+        ids, pieces, place = self._of_words(coded.dictionary)
+        heads = self._joined([self._cut(w) for w in words.take(pa.array(bounds[:-1])).to_pylist()])
+        ends = np.cumsum(np.fromiter(map(len, chain(ids, heads)), np.int64, len(ids) + len(heads)))
+        offsets = np.append(0, ends)[np.cumsum(np.concatenate(([0], pieces, np.ones(len(heads), np.int64))))]
+        at = place[coded.indices.to_numpy()]
+        at[bounds[:-1]] = len(pieces) + np.arange(len(heads))  # the first words, which have no blank before them
+        known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(chain(ids, heads)))])
+        data, sizes = known.take(pa.array(at)).buffers()[2], np.append(0, np.cumsum(np.diff(offsets)[at]))[bounds].tolist()
+        return [data[a:b].to_pybytes() if b > a else b"" for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
+
+    def encode_many(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text, four bytes each; a column has no nulls."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        whole, loose = np.full(len(column), not self.by_piece), pc.match_substring_regex(column, _LOOSE).to_numpy(zero_copy_only=False)
+        for mark in self.marks:
+            whole |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(column)
+
+        def put(rows: np.ndarray, encode: Callable[[pa.Array], list[bytes]]) -> None:
+            at = np.flatnonzero(rows)
+            if len(at):
+                for i, ids in zip(at.tolist(), encode(column.take(pa.array(at))), strict=True):
+                    out[i] = ids
+
+        put(whole, lambda some: [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some.to_pylist()])
+        put(loose & ~whole, lambda some: self._joined([self._cut(t) for t in some.to_pylist()]))
+        put(~(loose | whole), self._plain)
         return out
 
 
@@ -222,8 +279,8 @@ def _writer(path: str, bits: int, end_id: int):
 
         size = 0
         for batch in batches:
-            for first, last in tx.slices(batch.column(1), 1 << 19):
-                texts = batch.column(1).slice(first, last - first).to_pylist()
+            for first, last in tx.slices(batch.column(1), SLICE_BYTES):
+                texts = batch.column(1).slice(first, last - first)
                 for doc, ids in zip(batch.column(0).slice(first, last - first).to_pylist(), library.encode_many(texts), strict=True):
                     docs.append(doc)
                     held.append(ids + end)
@@ -251,21 +308,27 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 2, id_
     ordered.mapInArrow(_writer(path, bits, end_id), BLOCK_SCHEMA).write.parquet(out)
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """Of each block: shard, document, start and number of ids by document; the bounds of the documents' ids; the ids."""
     for batch in batches:
         for shard, start, docs, lengths, payload in zip(*(batch.column(c) for c in ("shard", "start", "doc_ids", "lengths", "payload")), strict=True):
-            ids = unpack(payload.as_py())
             n = np.array(lengths.as_py(), np.int64)
             ends = np.cumsum(n)
-            parts = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard.as_py()), pa.int32()), docs.values, pa.array(start.as_py() + ends - n), pa.array(n), parts], ["shard", "doc_id", "start", "n_tokens", "ids"])
+            columns = [pa.array(np.full(len(n), shard.as_py()), pa.int32()), docs.values, pa.array(start.as_py() + ends - n), pa.array(n)]
+            yield columns, np.concatenate(([0], ends)), unpack(payload.as_py())
+
+
+def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for columns, bounds, ids in _unpacked(batches):
+        parts = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([*columns, parts], ["shard", "doc_id", "start", "n_tokens", "ids"])
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _reader(batches):
-        ids, offsets = batch.column("ids").flatten().to_numpy().astype("<u4"), batch.column("ids").offsets.to_numpy()
-        crc = [zlib.crc32(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
+    for columns, bounds, ids in _unpacked(batches):
+        raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(crc, pa.int64())], ["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def _bases(blocks: DataFrame) -> DataFrame:

@@ -89,6 +89,29 @@ def test_cache_generations_keep_results():
     assert small.encode_many(words) == LibraryEncoder(BYTE_FILE).encode_many(words)
 
 
+SPACES = [" ", " ", " ", "\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u200b", "\u2028", "\u3000", "a", "é", "中", "'s", "'", ",", "7", "Ċ", "ÿ", "<|endoftext|>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(SPACES), max_size=12).map("".join), max_size=6))
+def test_texts_split_at_blanks_equal_the_library(texts):
+    mine, theirs = _library()[1]
+    want = [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [mine.encode_many(texts), mine.encode_many(pa.array(["x", *texts], pa.string()).slice(1)), LibraryEncoder(BYTE_FILE, kept=8).encode_many(texts)]
+    assert all([np.frombuffer(x, "<u4").tolist() for x in some] == want for some in got)
+
+
+def test_only_distinct_words_are_cut():
+    mine = LibraryEncoder(BYTE_FILE)
+    texts, cut, asked = ["the same few words, over and over\n" * 300, "ein Wort, ein Wort, été " * 400], [], []
+    want = [mine.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    plain, of_pieces = mine._cut, mine._of_pieces
+    mine._cut = lambda text: cut.append(len(text)) or plain(text)
+    mine._of_pieces = lambda pieces: asked.append(len(pieces)) or of_pieces(pieces)
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_many(texts)] == want
+    assert sum(cut) < 200 and sum(asked) < 40
+
+
 @pytest.mark.parametrize("bits", [1, 5, 9, 15, 16, 17, 20, 32])
 def test_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 777)
