@@ -48,6 +48,29 @@ def test_overlaps_once(spark):
     assert rows_of(ranges.difference(x, y, "overlap", 16), "chrom", "start", "end") == sorted(p for p in a if p not in hit)
 
 
+@pytest.mark.parametrize("width", [4, 16, 65_536])
+def test_overlaps_of_odd_ranges(spark, width):
+    """Empty, reversed, negative, repeated, very long and unknown ranges, by the definition."""
+    rng = random.Random(6)
+    make = lambda n: [(rng.choice("abc"), s := rng.randrange(-60, 400), s + rng.choice([-3, 0, 0, 1, 2, 9, 40])) for _ in range(n)]
+    a = make(120) + [("a", 390, 395)] * 3 + [(None, 1, 9), ("a", None, 9), ("a", 1, None), ("z", 1, 9)]
+    b, c = make(25) + [(None, 1, 9), ("b", None, 9), ("b", 1, None)], [("a", 100, 380), ("y", 1, 9)]
+    schema = "chrom string, start long, end int"
+    x, y, z = (spark.createDataFrame(rows, schema) for rows in (a, b, c))
+    meets = lambda p, other: None not in p and any(None not in q and p[0] == q[0] and p[1] < q[2] and q[1] < p[2] for q in other)
+    got = ranges.mark_overlaps(x.withColumn("more", F.lit(1)), {"y": y, "z": z}, width).select("chrom", "start", "end", "more", "y", "z").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((*p, 1, meets(p, b), meets(p, c))) for p in a)
+
+
+def test_overlaps_make_no_pairs(spark):
+    """40,000 ranges of one place against as many, 1.6e9 pairs: seconds, where making the pairs takes many minutes."""
+    rows = spark.range(40_000).selectExpr("'c' AS chrom", "id % 20000 AS start", "id % 20000 + 20000 + id div 20000 AS end")
+    began = time.time()
+    sizes = spark.createDataFrame([("c", 50_000)], "chrom string, size long")
+    assert coverage.coverage(rows, sizes, include=rows, exclude=rows.where("start < 0")).agg(F.sum(F.col("value") * (F.col("end") - F.col("start")))).first()[0] == pytest.approx(1e6)
+    assert time.time() - began < 40
+
+
 def test_pile_up_and_smooth(spark):
     rng = random.Random(5)
     frags = [("c", s := rng.randrange(200), s + rng.randrange(1, 30)) for _ in range(60)]
