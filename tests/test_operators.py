@@ -60,12 +60,15 @@ def test_overlaps_of_odd_ranges(spark, width):
     meets = lambda p, other: None not in p and any(None not in q and p[0] == q[0] and p[1] < q[2] and q[1] < p[2] for q in other)
     got = ranges.mark_overlaps(x.withColumn("more", F.lit(1)), {"y": y, "z": z}, width).select("chrom", "start", "end", "more", "y", "z").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((*p, 1, meets(p, b), meets(p, c))) for p in a)
+    for how, keep in ((ranges.intersection, True), (ranges.difference, False)):
+        assert sorted(map(repr, map(tuple, how(x, y, "overlap", width).select("chrom", "start", "end").collect()))) == sorted(repr(p) for p in a if meets(p, b) == keep)
 
 
 def test_overlaps_make_no_pairs(spark):
     """40,000 ranges of one place against as many, 1.6e9 pairs: seconds, where making the pairs takes many minutes."""
     rows = spark.range(40_000).selectExpr("'c' AS chrom", "id % 20000 AS start", "id % 20000 + 20000 + id div 20000 AS end")
     began = time.time()
+    assert ranges.intersection(rows, rows, "overlap").count() == 40_000
     sizes = spark.createDataFrame([("c", 50_000)], "chrom string, size long")
     assert coverage.coverage(rows, sizes, include=rows, exclude=rows.where("start < 0")).agg(F.sum(F.col("value") * (F.col("end") - F.col("start")))).first()[0] == pytest.approx(1e6)
     assert time.time() - began < 40
