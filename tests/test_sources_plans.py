@@ -1,6 +1,7 @@
 import gzip
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -224,3 +225,14 @@ def test_streamed_coverage(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.sql("SELECT bin, fragments FROM binned").collect()) == [(0, 10), (1, 10), (2, 10), (3, 10)]
+
+
+def test_windows_cost_their_own_letters(spark):
+    """40,000 short windows of one chunk: seconds, where reading the whole chunk for each takes over half a minute."""
+    seq = "".join("ACGTN"[(7 * p + p // 3) % 5] for p in range(fasta.CHUNK))
+    chunks = spark.createDataFrame([("c", 0, seq)], "chrom string, chunk_id long, seq string")
+    segments = spark.range(0, 40_000, 1, 1).selectExpr("id AS seg_idx", "'c' AS chrom", "id + 25000 AS start")
+    began = time.time()
+    got = fasta.cut_windows(segments, chunks, 32, 4).selectExpr("count(*)", "min(length(seq))", "max(length(seq))", "max_by(seq, seg_idx)", "min_by(seq, seg_idx)").first()
+    assert time.time() - began < 15
+    assert got[:] == (40_000, 40, 40, seq[64_995:65_035], seq[24_996:25_036])
