@@ -6,8 +6,9 @@ import time
 import numpy as np
 import pytest
 
+from helixframe.operators import coverage
 from helixframe.plans.loader import ArrayLoader, CatLoader, Loader, LoaderMap
-from helixframe.plans.store import DatasetBuilder
+from helixframe.plans.store import DatasetBuilder, Store
 from helixframe.sources import bam, bigwig, fasta, gff
 from helixframe.sources.signal_store import SignalStore, import_runs
 
@@ -236,3 +237,32 @@ def test_windows_cost_their_own_letters(spark):
     got = fasta.cut_windows(segments, chunks, 32, 4).selectExpr("count(*)", "min(length(seq))", "max(length(seq))", "max_by(seq, seg_idx)", "min_by(seq, seg_idx)").first()
     assert time.time() - began < 15
     assert got[:] == (40_000, 40, 40, seq[64_995:65_035], seq[24_996:25_036])
+
+
+def test_runs_of_a_track_are_made_once(spark, tmp_path):
+    """Neither the sweep nor the check for chromosomes makes the rows below it again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        seen.add(1)
+        return "c", i * 3 % 900, i * 3 % 900 + 7
+
+    fragments = spark.createDataFrame(spark.sparkContext.parallelize(range(400), 2).map(row), "chrom string, start long, end long")
+    depth = np.zeros(907)
+    for i in range(400):
+        depth[i * 3 % 900 : i * 3 % 900 + 7] += 1
+    got = np.zeros(907)
+    for r in coverage.pile_up(fragments, slice_width=64).collect():
+        got[r["start"] : r["end"]] = r["value"]
+    assert (got == depth).all() and seen.value == 400
+    path = tmp_path / "g.fa"
+    path.write_text(">c\n" + "ACGTA" * 200 + "\n")
+    builder = DatasetBuilder(spark, f"file://{tmp_path}/once", str(path), 100, resolution=4)
+    builder.add_runs("t", coverage.pile_up(fragments))
+    assert seen.value == 800
+    with pytest.raises(ValueError, match="lacks c"):
+        builder.add_runs("none", coverage.pile_up(fragments.where("start < 0")))
+    builder.finish()
+    assert not list((tmp_path / "once").glob("_runs/*"))
+    values = Store(spark, f"file://{tmp_path}/once").read().orderBy("seg_idx").collect()
+    assert np.allclose(np.concatenate([r["values"][0] for r in values])[:226], depth[:904].reshape(-1, 4).mean(1))
